@@ -27,6 +27,20 @@ def decisions(scores: DataFrame, case: str, nr: str, confidences: list[float], p
     return per_case.select(case, *keep, F.inline(levels))
 
 
+def decisions_by_setting(scores: DataFrame, case: str, nr: str, confidences: list[float], settings: dict[str, str],
+                         keep: list[str] = ("label", "case_length")) -> DataFrame:
+    """``decisions`` for several scorings of the same prefixes at once, in the same single aggregate.
+
+    ``settings`` maps a setting's name to its probability column.
+    """
+    pairs = [(s, p, c) for s, p in settings.items() for c in confidences]
+    firsts = [F.min(F.when(F.col(p) >= c, F.col(nr))).alias(f"_a{i}") for i, (_, p, c) in enumerate(pairs)]
+    per_case = scores.groupBy(case).agg(*[F.max(c).alias(c) for c in keep], *firsts)
+    levels = F.array(*[F.struct(F.lit(s).alias("setting"), F.lit(float(c)).alias("confidence"), F.col(f"_a{i}").alias("nr_events"))
+                       for i, (s, _, c) in enumerate(pairs)])
+    return per_case.select(case, *keep, F.inline(levels))
+
+
 def alerts(decided: DataFrame) -> DataFrame:
     return decided.filter(F.col("nr_events").isNotNull())
 
