@@ -23,13 +23,18 @@ def split_tokens(c, lower: bool = True) -> Column:
 
 
 def ngrams(tokens, low: int = 1, high: int = 1) -> Column:
-    """All runs of low..high tokens joined by a space."""
+    """All runs of low..high tokens joined by a space.
+
+    Runs of n tokens extend the runs of n-1 by one zip, so the work is linear
+    in the text. Pass a stored column, since it is read several times.
+    """
     if not 1 <= low <= high:
         raise ValueError("need 1 <= low <= high")
     t = col(tokens)
-    parts = [t] if low == 1 else []
-    for n in range(max(low, 2), high + 1):
-        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(
-            F.array().cast("array<int>"))
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(t, i, n), " ")))
+    runs, parts = t, [t] if low == 1 else []
+    for n in range(2, high + 1):
+        count = F.greatest(F.size(t) - (n - 1), F.lit(0))
+        runs = F.zip_with(F.slice(runs, F.lit(1), count), F.slice(t, F.lit(n), count), lambda a, b: F.concat(a, F.lit(" "), b))
+        if n >= low:
+            parts.append(runs)
     return parts[0] if len(parts) == 1 else F.concat(*parts)

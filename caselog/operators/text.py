@@ -13,9 +13,10 @@ from caselog.functions import text as T
 from caselog.operators.ranks import lookup_skewed, row_number_by_slice
 
 
-def term_counts(docs: DataFrame, key: str, tokens: Column, keep: list[str] = ()) -> DataFrame:
+def term_counts(docs: DataFrame, key: str, tokens: Column, keep: list[str] = (), ngram: tuple[int, int] = (1, 1)) -> DataFrame:
     """(key, term, tf); ``keep`` columns are constant per document."""
-    long = docs.select(key, *keep, F.explode(tokens).alias("term"))
+    cut = docs.select(key, *keep, tokens.alias("_tokens"))
+    long = cut.select(key, *keep, F.explode(T.ngrams("_tokens", *ngram)).alias("term"))
     return long.groupBy(key, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -161,8 +162,8 @@ class NGramSelector:
         self.selected: DataFrame | None = None
 
     def _cells(self, docs: DataFrame, keep: list[str]) -> DataFrame:
-        tokens = T.ngrams(T.words(F.coalesce(F.col(self.text), F.lit(""))), self.ngram_min, self.ngram_max)
-        return term_counts(docs, self.key, tokens, keep)
+        tokens = T.words(F.coalesce(F.col(self.text), F.lit("")))
+        return term_counts(docs, self.key, tokens, keep, (self.ngram_min, self.ngram_max))
 
     def _weights(self, cells: DataFrame) -> DataFrame:
         if self.use_tfidf:

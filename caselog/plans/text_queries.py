@@ -44,7 +44,7 @@ with {DOCS_SQL}, s as (select doc_id, {WORDS} as t from docs),
 g as (select doc_id, unnest(t) as term from s union all select doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) from s)
 select doc_id, term, count(*) as tf from g group by all""")
 def ngram_counts(spark, sf):
-    return text.term_counts(labelled_documents(spark, sf), "doc_id", T.ngrams(T.words("text"), 1, 2))
+    return text.term_counts(labelled_documents(spark, sf), "doc_id", T.words("text"), ngram=(1, 2))
 
 
 @query("trigram_counts", "TX-3", f"""
@@ -52,7 +52,7 @@ with {DOCS_SQL}, s as (select doc_id, {WORDS} as t from docs),
 g as (select doc_id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) as term from s)
 select term, count(*) as n from g group by all""")
 def trigram_counts(spark, sf):
-    cells = text.term_counts(labelled_documents(spark, sf), "doc_id", T.ngrams(T.words("text"), 3, 3))
+    cells = text.term_counts(labelled_documents(spark, sf), "doc_id", T.words("text"), ngram=(3, 3))
     return cells.groupBy("term").agg(F.sum("tf").alias("n"))
 
 
