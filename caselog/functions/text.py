@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from caselog.functions.scalars import col
 
-# Fixed value: a word is two or more word characters, letters of any script included.
-WORD_PATTERN = r"(?U)\b\w\w+\b"
+# Fixed value: a word is two or more letters (of any script), numbers or underscores in a row.
+WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
 def words(c) -> Column:

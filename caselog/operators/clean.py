@@ -127,7 +127,7 @@ def lemmatise(df: DataFrame, key: str, tokens: str, lexicon: DataFrame, out: str
     Frequent tokens would all meet in one join task, so the lookup splits
     them off by their count. The list put together again is one text.
     """
-    long = df.select(key, F.posexplode(tokens).alias("_pos", "token"))
+    long = df.select(key, F.posexplode_outer(tokens).alias("_pos", "token")).filter(F.col("token").isNotNull())
     weights = long.groupBy("token").agg(F.count(F.lit(1)).alias("_weight"))
     known = lexicon.select("token", "lemma").join(weights, "token")
     spread = F.concat_ws("_", F.col(key).cast("string"), F.col("_pos").cast("string"))

@@ -65,8 +65,10 @@ def vectors(cases: DataFrame, cells: DataFrame, case: str, names: list[str], out
     """
     spark = cases.sparkSession
     index = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "feature string, _i int")
-    placed = cells.join(F.broadcast(index), "feature").groupBy(case).agg(
+    # A fixed partition count: vectors are small but scoring them is not, so they must not be merged into few tasks.
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = cells.join(F.broadcast(index), "feature").repartition(width, case).groupBy(case).agg(
         F.array_sort(F.collect_list(F.struct("_i", "number"))).alias("_cells"))
     empty = F.array().cast("array<struct<_i:int,number:double>>")
-    joined = cases.join(placed, case, "left").withColumn("_cells", F.coalesce("_cells", empty))
+    joined = cases.repartition(width, case).join(placed, case, "left").withColumn("_cells", F.coalesce("_cells", empty))
     return joined.withColumn(out, sparse_vector("_cells._i", "_cells.number", len(names))).drop("_cells")

@@ -348,7 +348,9 @@ def fit_classifier(method: str, train: DataFrame, size: int, n: int, options: di
         forest = C.RandomForestClassifier(
             featuresCol="features", labelCol="label_index", weightCol="weight", probabilityCol="_probability", predictionCol="_prediction",
             rawPredictionCol="_raw", numTrees=o.pop("n_estimators", 100), maxDepth=30 if depth is None else min(depth, 30),
-            minInstancesPerNode=o.pop("min_samples_leaf", 1), seed=seed)
+            minInstancesPerNode=o.pop("min_samples_leaf", 1), seed=seed,
+            # keep each row's node between rounds instead of sending all trees out again
+            cacheNodeIds=True, maxMemoryInMB=o.pop("max_memory_mb", 1024))
         stages = [forest]
     elif method in ("logit", "svm"):
         c = float(o.pop("C", 1.0))

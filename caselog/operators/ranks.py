@@ -71,13 +71,15 @@ def running_in_case(
     nr: str,
     values: dict[str, tuple[str, str]],
     slice_rows: int | None = HOT_ROWS,
+    order: list[Column] | None = None,
 ) -> DataFrame:
     """Running values per case along its event numbers.
 
     ``values`` maps an output name to (kind, column) with kind one of
     sum, max, first, last; first and last skip nulls. With slice_rows set,
     cases longer than that run slice by slice, the earlier slices carried in.
-    Pass None when no case is that long (see ``hot_keys``).
+    Pass None when no case is that long (see ``hot_keys``). ``order`` is the
+    order the numbers were given by: the plain window then shares its sort.
     """
     simple = {"sum": F.sum, "max": F.max}
 
@@ -88,7 +90,7 @@ def running_in_case(
         return pick(source, ignorenulls=True).over(w)
 
     if slice_rows is None:
-        plain = Window.partitionBy(case).orderBy(nr).rowsBetween(Window.unboundedPreceding, 0)
+        plain = Window.partitionBy(case).orderBy(*(order or [F.col(nr)])).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({o: windowed(k, c, plain) for o, (k, c) in values.items()})
 
     def summary(kind, source):

@@ -13,10 +13,16 @@ from caselog.functions import text as T
 from caselog.operators.ranks import lookup_skewed, row_number_by_slice
 
 
+def each_token(docs: DataFrame, keep: list[str], tokens: Column) -> DataFrame:
+    """One row per token. The outer form keeps the optimizer from testing the
+    tokens for emptiness at the scan, which would split every text again."""
+    return docs.select(*keep, F.explode_outer(tokens).alias("term")).filter(F.col("term").isNotNull())
+
+
 def term_counts(docs: DataFrame, key: str, tokens: Column, keep: list[str] = (), ngram: tuple[int, int] = (1, 1)) -> DataFrame:
     """(key, term, tf); ``keep`` columns are constant per document."""
     cut = docs.select(key, *keep, tokens.alias("_tokens"))
-    long = cut.select(key, *keep, F.explode(T.ngrams("_tokens", *ngram)).alias("term"))
+    long = each_token(cut, [key, *keep], T.ngrams("_tokens", *ngram))
     return long.groupBy(key, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -61,7 +67,7 @@ def tfidf(cells: DataFrame, key: str, frequencies: DataFrame, n_docs: DataFrame
 
 def frequent_tokens(docs: DataFrame, tokens: Column, min_freq: int) -> DataFrame:
     """Tokens that occur more than min_freq times in the corpus."""
-    counts = docs.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counts = each_token(docs, [], tokens).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return counts.filter(F.col("n") > min_freq)
 
 

@@ -37,27 +37,33 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.withColumnRenamed("l_orderkey", "case_id")
 
 
-def order_log(spark: SparkSession, sf_dir: str, parts: bool = True) -> DataFrame:
+def order_log(spark: SparkSession, sf_dir: str, parts: bool = True, events: DataFrame | None = None) -> DataFrame:
     """Numbered lines with the order's outcome and, if asked, the part's category and name."""
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("case_id"), "o_totalprice", F.col("o_orderpriority").alias("pr"),
         F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label"))
-    log = order_events(spark, sf_dir).join(orders, "case_id")
+    log = (order_events(spark, sf_dir) if events is None else events).join(orders, "case_id")
     columns = ["case_id", "event_nr", "case_length", F.col("l_shipdate").alias("ts"), "l_quantity", "l_extendedprice",
                F.col("l_returnflag").alias("act"), "o_totalprice", "pr", "label"]
     if parts:
         part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("cat"), F.col("p_name").alias("txt"))
         log = log.join(part, F.col("l_partkey") == F.col("p_partkey"))
         columns += ["cat", "txt"]
-    return log.select(*columns)
+    return log.select(*columns, *([] if events is None else ["score"]))
 
 
 def order_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order log with a rule score per prefix: mean quantity so far over 50."""
-    log = order_log(spark, sf_dir, parts=False)
+    """Order log with a rule score per prefix: mean quantity so far over 50.
+
+    The running sum uses the numbering's own window, before any join, so the
+    lines are sorted once.
+    """
+    events = order_events(spark, sf_dir)
     hot = _known_hot[(spark.sparkContext.applicationId, sf_dir, "lineitem")]
-    running = running_in_case(log, "case_id", "event_nr", {"so_far": ("sum", "l_quantity")}, None if hot is None else HOT_ROWS)
-    return running.withColumn("score", F.col("so_far") / (F.lit(50.0) * F.col("event_nr"))).drop("so_far")
+    running = running_in_case(events, "case_id", "event_nr", {"so_far": ("sum", "l_quantity")}, None if hot is None else HOT_ROWS,
+                              [F.col(c) for c in LINE_ORDER])
+    scored = running.withColumn("score", F.col("so_far") / (F.lit(50.0) * F.col("event_nr")))
+    return order_log(spark, sf_dir, parts=False, events=scored)
 
 
 def user_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +78,9 @@ def user_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    """Texts are placed by document first: a text is far smaller than its (document, term)
+    rows, and counts and norms per document then need no further shuffle."""
+    return table(spark, sf_dir, "documents").repartition("doc_id").join(table(spark, sf_dir, "labels"), "doc_id")
 
 
 # The same logs in SQL, for the checks.

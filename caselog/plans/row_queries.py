@@ -156,8 +156,8 @@ def event_descriptions(spark, sf):
 
 
 @query("lemmatised_texts", "PR-17", f"""
-with {DOCS_SQL}, tok as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]{{2,}}')) as token,
-    generate_subscripts(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]{{2,}}'), 1) as pos from docs),
+with {DOCS_SQL}, tok as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) as token,
+    generate_subscripts(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), 1) as pos from docs),
 lex as (select distinct token, substr(token, 1, length(token) - 1) as lemma from tok where token like '%s' and length(token) > 3),
 lem as (select doc_id, pos, coalesce(lemma, token) as w from tok left join lex using (token)),
 joined as (select doc_id, string_agg(w, ' ' order by pos) as lemmas from lem group by doc_id)

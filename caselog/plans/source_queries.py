@@ -102,7 +102,7 @@ def scanned_results(spark, sf):
 
 
 @query("saved_dictionary", "IO-8 TX-4", f"""
-with {DOCS_SQL}, t as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]{{2,}}')) as term from docs)
+with {DOCS_SQL}, t as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) as term from docs)
 select term, count(distinct doc_id) as df, row_number() over (order by term) - 1 as idx from t group by term""")
 def saved_dictionary(spark, sf):
     docs = labelled_documents(spark, sf)

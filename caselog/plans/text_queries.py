@@ -9,7 +9,7 @@ from caselog.operators import features, text
 from caselog.plans.logs import DOCS_SQL, LOG_SQL, labelled_documents, order_log
 from caselog.plans.registry import query
 
-WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}')"
+WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
 TOK_SQL = DOCS_SQL + f", tok as (select doc_id, quality, unnest({WORDS}) as term from docs), tf as (select doc_id, quality, term, count(*) as tf from tok group by all)"
 DF_SQL = TOK_SQL + ", df as (select term, count(*) as df from tf group by term), nd as (select count(*)::double as n from docs)"
 TFIDF_SQL = DF_SQL + """, raw as (select doc_id, quality, term, tf, tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) as w from tf join df using (term), nd),
