@@ -41,17 +41,32 @@ def span_slice(df: DataFrame, key: str, slices: int = 4096) -> tuple[DataFrame,
 
     Returns the table with its one-row range attached and the slice expression.
     """
-    span = df.agg(F.min(key).cast("double").alias("_lo"), F.max(key).cast("double").alias("_hi"))
+    lo, hi = f"_lo_{key}", f"_hi_{key}"
+    span = df.agg(F.min(key).cast("double").alias(lo), F.max(key).cast("double").alias(hi))
     wide = df.crossJoin(F.broadcast(span))  # one row
-    width = F.col("_hi") - F.col("_lo")
-    pos = F.when(width > 0, F.floor((F.col(key).cast("double") - F.col("_lo")) / width * (slices - 1))).otherwise(0)
+    width = F.col(hi) - F.col(lo)
+    pos = F.when(width > 0, F.floor((F.col(key).cast("double") - F.col(lo)) / width * (slices - 1))).otherwise(0)
     return wide, F.coalesce(pos, F.lit(-1)).cast("bigint")
 
 
-def contiguous_ids(df: DataFrame, key: str, out: str, ties: list[Column] | None = None, slices: int = 4096) -> DataFrame:
-    """1..N in the order of a numeric key, sliced over the key's range."""
+def contiguous_ids(df: DataFrame, key: str, out: str, tie: str | None = None, slices: int = 4096, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """1..N in the order of a numeric key, then of a numeric ``tie`` column.
+
+    Slices run over the key's range. A key value held by more than hot_rows
+    rows gets a place of its own in its slice and is cut again along ``tie``.
+    """
+    columns = df.columns
+    order = [F.col(key)] + ([F.col(tie)] if tie else [])
     wide, slice_ = span_slice(df, key, slices)
-    return row_number_by_slice(wide, [], [F.col(key), *(ties or [])], slice_, out).drop("_lo", "_hi")
+    hot = hot_keys(df.select(key), key, hot_rows) if tie else None
+    if hot is not None:
+        values = [r[key] for r in hot.collect() if r[key] is not None]  # at most rows/hot_rows
+        wide, along = span_slice(wide, tie, slices)
+        is_hot = F.col(key).isin(values)
+        before = F.size(F.filter(F.array(*[F.lit(v) for v in values]), lambda v: v < F.col(key)))
+        place = F.coalesce(2 * before + is_hot.cast("int"), F.lit(-1))
+        slice_ = F.struct(slice_.alias("at"), place.alias("place"), F.when(is_hot, along).otherwise(0).alias("along"))
+    return row_number_by_slice(wide, [], order, slice_, out).select(*columns, out)
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:

@@ -30,10 +30,10 @@ def _hot(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, key: str):
 
 
 def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered lines: one shuffle by order. Cases above HOT_ROWS lines are cut by month."""
+    """Numbered lines: one shuffle by order. Cases above HOT_ROWS lines are cut by day and line number."""
     lines = table(spark, sf_dir, "lineitem")
     hot = _hot(spark, sf_dir, "lineitem", lines, "l_orderkey")
-    numbered = number_events(lines, "l_orderkey", [F.col(c) for c in LINE_ORDER], F.date_trunc("month", "l_shipdate"), hot=hot)
+    numbered = number_events(lines, "l_orderkey", [F.col(c) for c in LINE_ORDER], F.struct("l_shipdate", "l_linenumber"), hot=hot)
     return numbered.withColumnRenamed("l_orderkey", "case_id")
 
 
@@ -71,7 +71,7 @@ def user_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn(
         "case_id", F.concat(F.col("user_id").cast("string"), F.lit("_"), F.to_date("ts").cast("string")))
     hot = _hot(spark, sf_dir, "events", events, "case_id")
-    numbered = number_events(events, "case_id", [F.col("ts"), F.col("event_id")], F.date_trunc("hour", "ts"), hot=hot)
+    numbered = number_events(events, "case_id", [F.col("ts"), F.col("event_id")], F.date_trunc("second", "ts"), hot=hot)
     bought = events.groupBy("case_id").agg(F.max((F.col("event_type") == "purchase").cast("int")).alias("label"))
     return numbered.join(bought, "case_id").select(
         "case_id", "event_nr", "case_length", "event_id", "ts", F.col("event_type").alias("act"), "value", "label")

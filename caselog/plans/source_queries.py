@@ -115,4 +115,4 @@ def saved_dictionary(spark, sf):
 select event_id, row_number() over (order by value, event_id) as unique_id from events""")
 def contiguous_event_ids(spark, sf):
     events = table(spark, sf, "events").select("event_id", "value")
-    return contiguous_ids(events, "value", "unique_id", [F.col("event_id")]).select("event_id", "unique_id")
+    return contiguous_ids(events, "value", "unique_id", "event_id").select("event_id", "unique_id")

@@ -51,9 +51,20 @@ def test_ranks_in_slices(skewed):
     assert same(got, skewed.withColumn("r", F.row_number().over(w).cast("bigint")), ["case_id", "id", "r"])
 
 
-def test_contiguous_ids_cover_the_range(skewed):
-    got = ranks.contiguous_ids(skewed, "t", "n", [F.col("id"), F.col("case_id")])
-    assert got.agg(F.min("n"), F.max("n"), F.countDistinct("n")).first()[:] == (1, 4500, 4500)
+@pytest.mark.parametrize("hot_rows", [100, 10_000])
+def test_contiguous_ids_with_a_hot_value(skewed, hot_rows):
+    # a third of the rows shares one key value
+    rows = skewed.select(F.when(F.col("case_id") == "hot", F.lit(450)).otherwise(F.col("t")).alias("t"),
+                         F.when(F.col("case_id") == "hot", F.col("id")).otherwise(F.col("id") + 10_000).alias("u"))
+    got = ranks.contiguous_ids(rows, "t", "n", "u", slices=16, hot_rows=hot_rows)
+    want = rows.withColumn("n", F.row_number().over(Window.orderBy("t", "u")).cast("bigint"))
+    assert same(got, want, ["t", "u", "n"])
+
+
+def test_numbering_with_struct_slices(skewed):
+    order = [F.col("t"), F.col("id")]
+    got = number_events(skewed, "case_id", order, F.struct("t", F.floor(F.col("id") / 7)), hot_rows=100)
+    assert same(got.withColumn("case_length", F.col("case_length").cast("bigint")), plain(skewed), ["case_id", "id", "event_nr", "case_length"])
 
 
 def test_lookup_splits_frequent_keys(spark, skewed):
