@@ -69,8 +69,8 @@ def string_columns(log: DataFrame, columns) -> list[str]:
 
 
 def fit_static_codes(log: DataFrame, spec: LogSpec) -> dict[str, DataFrame]:
-    """Ordinal codes of static text columns, from the training log."""
-    return {c: ordinal_table(log, c) for c in string_columns(log, spec.static_cols)}
+    """Ordinal codes of static text columns, from the training log; kept, since every scoring reads them."""
+    return {c: durable(ordinal_table(log, c)) for c in string_columns(log, spec.static_cols)}
 
 
 def static_cells(log: DataFrame, spec: LogSpec, codes: dict[str, DataFrame]) -> DataFrame:
@@ -346,8 +346,8 @@ def fit_classifier(method: str, train: DataFrame, size: int, n: int, options: di
     if method == "rf":
         depth = o.pop("max_depth", None)  # the library stops at 30 levels and has no min_samples_split
         forest = C.RandomForestClassifier(
-            featuresCol="features", labelCol="label_index", weightCol="weight", probabilityCol="_probability", predictionCol="_prediction",
-            rawPredictionCol="_raw", numTrees=o.pop("n_estimators", 100), maxDepth=30 if depth is None else min(depth, 30),
+            featuresCol="features", labelCol="label_index", weightCol="weight", probabilityCol="_probability", predictionCol="",
+            rawPredictionCol="", numTrees=o.pop("n_estimators", 100), maxDepth=30 if depth is None else min(depth, 30),
             minInstancesPerNode=o.pop("min_samples_leaf", 1), seed=seed,
             # keep each row's node between rounds instead of sending all trees out again
             cacheNodeIds=True, maxMemoryInMB=o.pop("max_memory_mb", 1024))

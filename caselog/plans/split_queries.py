@@ -8,12 +8,14 @@ from caselog.operators import split
 from caselog.operators.events import first_known
 from caselog.plans.logs import LOG_SQL, order_log, table
 from caselog.plans.registry import query
+from caselog.session import durable
 
 CASES = LOG_SQL + ", cases as (select case_id, max(label) as label from log group by case_id)"
 
 
 def labelled_cases(spark, sf):
-    return order_log(spark, sf, parts=False).groupBy("case_id").agg(first_known("label", "event_nr").alias("label"))
+    """One row per case. Kept, since ranking reads it twice and the log behind it is far larger."""
+    return durable(order_log(spark, sf, parts=False).groupBy("case_id").agg(first_known("label", "event_nr").alias("label")))
 
 
 def md5_order(seed, key="case_id"):
