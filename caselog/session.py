@@ -1,8 +1,9 @@
-"""Session settings shared by tests, bench and scripts."""
+"""Session settings, the shared scratch folder and durable tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,16 +24,61 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+_local_folders: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder all machines share: ``spark.checkpoint.dir``, or the checkpoint folder set on the context.
+
+    A local session without either gets a temporary folder, one per application. Any other master must name one:
+    a machine-local folder would be invisible to the other executors.
+    """
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder is not None:
+        return folder.rstrip("/")
+    master = context.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder shared by all machines (master {master})")
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="caselog-")
+    return _local_folders[context.applicationId]
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the cluster's shared folder.
+    """Cut lineage with a reliable checkpoint in the shared folder.
 
-    The folder is the one named by ``spark.checkpoint.dir``. Only where that
-    is unset (plain local tests) a temporary folder is made.
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes the files once nothing refers to them.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="caselog-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+class Workspace:
+    """Intermediate tables of one operator: Parquet in the shared folder, removed when the block ends.
+
+    Unlike a checkpoint the files keep their columns, so later reads prune them. What the block returns must not
+    depend on its tables: end with ``durable`` or a written result.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{shared_root(spark)}/caselog-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_: object) -> None:
+        remove_folder(self.spark, self.root)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caselog.session import shared_root
+
 
 def read_text_log(spark: SparkSession, path: str, columns: list[str], sep: str = ";") -> DataFrame:
     """Delimited file with a header, every column as text; no pass over the data to guess types."""
@@ -59,12 +61,7 @@ def scan_results(spark: SparkSession, pattern: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name inside the cluster's shared checkpoint folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base is None:  # plain local runs
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="caselog-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def save_dictionary(vocabulary: DataFrame, path: str) -> None:
