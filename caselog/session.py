@@ -66,6 +66,7 @@ class Workspace:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_root(spark)}/caselog-{uuid.uuid4().hex}"
+        self.paths: dict[int, str] = {}
 
     def __enter__(self) -> Workspace:
         return self
@@ -73,7 +74,13 @@ class Workspace:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        written = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(written)] = path
+        return written
+
+    def drop(self, written: DataFrame) -> None:
+        """Remove one table before the block ends; nothing may read it any more."""
+        remove_folder(self.spark, self.paths.pop(id(written)))
 
     def __exit__(self, *_: object) -> None:
         remove_folder(self.spark, self.root)
