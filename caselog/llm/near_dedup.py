@@ -9,10 +9,11 @@ beyond it a binomial bound missed once in ten million pairs at exactly the thres
 class needs to be listed only under its ``size - t + 1`` values that come first in one global order. Values of crowded
 hash bins come last in that order: text that very many documents share rarely makes lists.
 
-Lists are never expanded into all pairs. In each of a few rounds every list compares its members with one pivot, links
-are contracted into components, and lists within one component are done. What is then left in a list with several
-components is compared in blocks of bounded size that skip pairs of one component. No list is capped: every pair of a
-list that could be linked and isn't yet connected is looked at.
+Lists are never expanded into all pairs. First every list compares its members with a pivot of its own, links are
+contracted into components, and lists of two members or of one component are done. What is left is compared in blocks
+of bounded size on wider signatures, which skip pairs of one component and hand on, of short sets, only as many links
+as connect them. No list is capped: every pair of a list that could be linked and isn't yet connected is looked at.
+The full sets are made only for documents that pass the sketches.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from caselog.session import Workspace, durable
 SKETCH = 64
 MISS = 1e-7
 BIN_BITS = 16
-PIVOT_ROUNDS = 2
+WIDE = 256
 BLOCK = 256
 
 # odd multipliers, one per place in a shingle, drawn from the hash itself
@@ -92,17 +93,27 @@ def _sketches(k: int, words: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), list_array([s[:k] for s in sets], pa.int64())],
-                names=["id", "n", "sid", "sketch"])
+                names=["row", "n", "sid", "sketch"])
     return run
 
 
-def _full_sets(words: int):
+def _sets_of(words: int):
     def run(batches: Batches) -> Batches:
         cache = Cache(word_hashes)
         for batch in sliced(batches, 1):
             sets = [shingle_set(t, cache, words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), list_array(sets, pa.int64())], names=["sid", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(sets, pa.int64())], names=["sid", "set"])
+    return run
+
+
+def _signatures(wide: int, words: int):
+    """The low 32 bits of the smallest values: more of a set than the sketch, at half the width."""
+    def run(batches: Batches) -> Batches:
+        cache = Cache(word_hashes)
+        for batch in sliced(batches, 1):
+            sets = [shingle_set(t, cache, words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            low = [(s[:wide] & 0xFFFFFFFF).astype(np.uint32).view(np.int32) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), list_array(low, pa.int32())], names=["sid", "n", "low"])
     return run
 
 
@@ -129,40 +140,47 @@ def _incidence(sets: list[np.ndarray], values: np.ndarray) -> np.ndarray:
     return grid
 
 
-def _block_links(crowd: np.ndarray, k: int, percent: int):
-    """Links between the two halves of a block pair, those of one component left out."""
+def _block_links(wide: int, percent: int):
+    """Pairs between the two halves of a block pair that may be linked; those of one component are left out."""
+    loose = least_overlap(wide, percent)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        value, i, j = (int(pdf[c].iloc[0]) for c in ("value", "i", "j"))
-        order = pdf.assign(_s=pdf["sid"].map(bytes)).sort_values("_s")
-        left, right = order[order["block"] == i], order[order["block"] == j]
-        out: list[tuple[bytes, bytes]] = []
-        sets_l, sets_r = (list(x["set"].map(lambda s: np.asarray(s, dtype=np.int64))) for x in (left, right))
-        n_l, n_r = (np.array([len(s) for s in x], dtype=np.int64) for x in (sets_l, sets_r))
-        label_l, label_r = (pd.factorize(order["label"].map(bytes))[0][(order["block"] == b).to_numpy()] for b in (i, j))
-        sk_l, sk_r = ([s[:k] for s in x] for x in (sets_l, sets_r))
-        pool = np.unique(np.concatenate(sk_l + sk_r))
-        pre_l, pre_r = ([np.sort(listed(s, len(f), crowd, k, percent)) for s, f in zip(x, y)] for x, y in ((sk_l, sets_l), (sk_r, sets_r)))
-        shared, earlier = np.zeros((len(sk_l), len(sk_r)), np.float32), np.zeros((len(sk_l), len(sk_r)), np.float32)
-        key = crowd[pool & (len(crowd) - 1)]
-        mine = crowd[value & (len(crowd) - 1)]
-        before = pool[(key < mine) | ((key == mine) & (pool < value))]
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        sid = pdf["sid"].map(bytes)
+        order = np.argsort(sid.to_numpy())
+        ids, block, n = sid.to_numpy()[order], pdf["block"].to_numpy()[order], pdf["n"].to_numpy()[order]
+        low = [np.unique(np.asarray(x, dtype=np.int32)) for x in pdf["low"].to_numpy()[order]]
+        label = pd.factorize(pdf["label"].map(bytes).to_numpy()[order])[0]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        shared = np.zeros((len(left), len(right)), np.float32)
+        values, times = np.unique(np.concatenate(low), return_counts=True)
+        pool = values[times > 1]
         for at in range(0, len(pool), 2048):
             part = pool[at : at + 2048]
-            shared += _incidence(sk_l, part) @ _incidence(sk_r, part).T
-        for at in range(0, len(before), 2048):
-            part = before[at : at + 2048]
-            earlier += _incidence(pre_l, part) @ _incidence(pre_r, part).T
-        need = np.maximum.outer(overlap_bound(n_l, k, percent), overlap_bound(n_r, k, percent))
-        fits = (100 * np.minimum.outer(n_l, n_r) >= percent * np.maximum.outer(n_l, n_r)) & (label_l[:, None] != label_r[None, :])
-        fits &= (shared >= need) & (earlier == 0)  # a pair is looked at in the first list it shares
+            shared += _incidence([low[x] for x in left], part) @ _incidence([low[x] for x in right], part).T
+        n_l, n_r = n[left][:, None], n[right][None, :]
+        whole = np.maximum(n_l, n_r) <= wide  # both sets are in the signature to the last value
+        fits = (100 * np.minimum(n_l, n_r) >= percent * np.maximum(n_l, n_r)) & (label[left][:, None] != label[right][None, :])
+        fits &= np.where(whole, 100 * shared >= percent * (n_l + n_r - shared), shared >= np.minimum(loose, overlap_bound(np.maximum(n_l, n_r), wide, percent)))
+        # surely linked even if two values met by chance in their 32 bits: one such link connects, others are spared
+        sure = whole & (100 * (shared - 2) >= percent * (n_l + n_r - shared + 2))
         if i == j:
-            fits &= np.triu(np.ones_like(fits), 1).astype(bool)
-        ids_l, ids_r = left["_s"].to_list(), right["_s"].to_list()
+            fits &= left[:, None] < right[None, :]
+        parent = list(range(label.max() + 1))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
         for a, b in zip(*np.nonzero(fits)):
-            both = len(np.intersect1d(sets_l[a], sets_r[b], assume_unique=True))
-            if 100 * both >= percent * (n_l[a] + n_r[b] - both):
-                out.append((ids_l[a], ids_r[b]))
+            x, y = root(label[left[a]]), root(label[right[b]])
+            if x != y:
+                out.append((ids[left[a]], ids[right[b]]))
+                if sure[a, b]:
+                    parent[x] = y
         return pd.DataFrame(out, columns=["a", "b"])
 
     return run
@@ -174,19 +192,79 @@ def _estimate(k: int):
     return F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), union)) / F.size(union)
 
 
-def _linked(pairs: DataFrame, reps: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs at the threshold: sketches first, full sets for those that pass."""
-    for side in ("a", "b"):
-        pairs = pairs.join(reps.select(F.col("sid").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
-    near = pairs.filter(_estimate(k) >= least_overlap(k, percent) / k).select("a", "b")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
     for side in ("a", "b"):
-        near = near.join(sets.select(F.col("sid").alias(side), F.col("set").alias(f"set_{side}")), side)
+        pairs = pairs.join(sets.select(F.col("sid").alias(side), F.col("set").alias(f"set_{side}")), side)
     both = F.size(F.array_intersect("set_a", "set_b"))
-    return near.filter(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
+    return pairs.filter(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
+
+
+class _Search:
+    """The steps of one search over shared tables."""
+
+    def __init__(self, given: DataFrame, space: Workspace, percent: int, words: int, k: int, wide: int, block: int):
+        self.given, self.space, self.percent, self.words, self.k, self.wide, self.block = given, space, percent, words, k, wide, block
+
+    def texts_of(self, sids: DataFrame) -> DataFrame:
+        """(sid, text): one document of each class; the ids are a written table, so Spark knows whether they can be broadcast."""
+        ids = self.space.table(self.reps.join(sids, "sid", "left_semi").select("sid", "row"), "ids")
+        return self.given.join(ids, "row").select("sid", "text")
+
+    def crowding(self) -> np.ndarray:
+        """Values per hash bin, 0 for bins as full as chance makes them."""
+        bins = self.reps.select(F.explode("sketch").alias("v")).groupBy(F.col("v").bitwiseAND((1 << BIN_BITS) - 1).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+        crowd = np.zeros(1 << BIN_BITS, dtype=np.int64)
+        for r in bins.collect():  # at most 65,536 bins at any input size
+            crowd[r["bin"]] = r["c"]
+        usual = crowd.mean()
+        crowd[crowd <= usual + 6 * math.sqrt(usual) + 4] = 0
+        return crowd
+
+    def lists(self) -> DataFrame:
+        postings = self.reps.select("sid", "n", "sketch").mapInArrow(_postings(self.crowding(), self.k, self.percent), "value long, sid binary, n long")
+        sizes = postings.groupBy("value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+        return self.space.table(postings.join(sizes, "value"), "lists")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        written = self.space.table(pairs, "pairs")
+        texts = self.texts_of(written.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+        sets = self.space.table(texts.mapInArrow(_sets_of(self.words), "sid binary, set array<long>"), "sets")
+        found = self.space.table(_verified(written, sets, self.percent), "links")
+        self.space.drop(sets)
+        return found
+
+    def pivot_pairs(self, shared: DataFrame) -> DataFrame:
+        """Each list's members against a pivot drawn for that list, as far as size and sketches allow a link."""
+        drawn = F.min(F.struct(F.xxhash64("sid", "value").alias("h"), F.col("sid").alias("pivot"), F.col("n").alias("pivot_n"))).alias("p")
+        pivots = shared.groupBy("value").agg(drawn).select("value", "p.pivot", "p.pivot_n")
+        pairs = shared.join(pivots, "value").filter("sid <> pivot").filter(100 * F.least("n", "pivot_n") >= self.percent * F.greatest("n", "pivot_n"))
+        pairs = pairs.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
+        named = self.space.table(self.reps.join(shared.select("sid").distinct(), "sid", "left_semi").select("sid", "sketch"), "sketches")
+        for side in ("a", "b"):
+            pairs = pairs.join(named.select(F.col("sid").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+        return pairs.filter(_estimate(self.k) >= least_overlap(self.k, self.percent) / self.k).select("a", "b")
+
+    def labels(self, links: DataFrame) -> DataFrame:
+        """(sid, label) of the classes that are linked; others are their own label."""
+        return self.space.table(components(links, self.space).select(F.col("node").alias("sid"), "label"), "labels")
+
+    def rest_pairs(self, shared: DataFrame, labels: DataFrame) -> DataFrame:
+        """What is left in lists of several components: each list is cut into blocks, each pair of blocks is one group."""
+        here = shared.filter("members > 2").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        open_ = here.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("value")
+        left = self.space.table(here.join(open_, "value"), "left")
+        texts = self.texts_of(left.select("sid").distinct())
+        signatures = self.space.table(texts.mapInArrow(_signatures(self.wide, self.words), "sid binary, n long, low array<int>"), "signatures")
+        cut = left.withColumn("blocks", F.ceil(F.col("members") / self.block).cast("int"))
+        cut = cut.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+        dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("value", "sid", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        return dealt.join(signatures, "sid").groupBy("value", "i", "j").applyInPandas(_block_links(self.wide, self.percent), "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int = 5,
-                    k: int = SKETCH, pivot_rounds: int = PIVOT_ROUNDS, block: int = BLOCK) -> DataFrame:
+                    k: int = SKETCH, wide: int = WIDE, block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row of ``docs``.
 
     Two documents are linked when their shingle sets have a Jaccard similarity of at least percent/100; component_id
@@ -196,69 +274,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id, and is kept only when it stands alone. Other columns are ignored, whatever their names.
     """
     with Workspace(docs.sparkSession) as space:
-        # two roles: classes of equal sets by their digest, and documents by their id
-        given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        base = space.table(given.mapInArrow(_sketches(k, words), "id long, n long, sid binary, sketch array<long>"), "base")
-        with_words = base.filter("n > 0")
-        first = space.table(with_words.groupBy("sid").agg(F.min("id").alias("first_id")), "classes")
-        # one row of each class; min over rows that are equal but for the id, so any of them serves
-        one = with_words.join(first.select(F.col("sid"), F.col("first_id").alias("id")), ["sid", "id"]).select("sid", "n", "sketch")
-        nameless = with_words.join(first.filter("first_id is null"), "sid").select("sid", "n", "sketch")
-        reps = space.table(one.union(nameless).dropDuplicates(["sid"]), "reps")
-
-        bins = reps.select(F.explode("sketch").alias("v")).groupBy(F.col("v").bitwiseAND((1 << BIN_BITS) - 1).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
-        crowd = np.zeros(1 << BIN_BITS, dtype=np.int64)
-        for r in bins.collect():  # at most 65,536 bins at any input size
-            crowd[r["bin"]] = r["c"]
-        usual = crowd.mean()
-        crowd[crowd <= usual + 6 * math.sqrt(usual) + 4] = 0
-
-        postings = reps.select("sid", "n", "sketch").mapInArrow(_postings(crowd, k, percent), "value long, sid binary, n long")
-        lists = postings.groupBy("value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-        shared = space.table(postings.join(lists, "value"), "shared")
-        asked = space.table(shared.select("sid").distinct(), "asked")
-        ids = asked.join(first, "sid").select("first_id")
-        texts = given.join(ids.select(F.col("first_id").alias("id")), "id", "left_semi")
-        nameless_texts = given.filter("id is null") if ids.filter("first_id is null").limit(1).count() else None
-        texts = texts if nameless_texts is None else texts.union(nameless_texts)
-        made = texts.select(F.lit(None).cast("long").alias("id"), "text").mapInArrow(_full_sets(words), "sid binary, set array<long>")
-        sets = space.table(made.join(asked, "sid", "left_semi").dropDuplicates(["sid"]) if nameless_texts is not None else made, "sets")
-
-        labels = asked.select("sid", F.col("sid").alias("label"))
-        links = None
-        for turn in range(pivot_rounds):
-            here = shared.join(labels, "sid")
-            pivot = F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), F.col("sid").alias("pivot"), F.col("label").alias("pivot_label"), F.col("n").alias("pivot_n"))).alias("p")
-            open_ = here.groupBy("value").agg(pivot, F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("value", "p.*")
-            pairs = here.join(open_, "value").filter("label <> pivot_label").filter(
-                100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))
-            pairs = pairs.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
-            found = space.table(_linked(pairs, reps, sets, k, percent), "links")
-            links = found if links is None else links.union(found)
-            labels = _labels(asked, links, space)
-        rest = _rest(shared.join(labels, "sid"), sets, crowd, k, percent, block, space)
-        links = rest if links is None else links.union(rest)
-        labels = _labels(asked, links, space)
-
-        members = base.join(labels.filter("label <> sid"), "sid", "left").withColumn("class", F.coalesce("label", "sid"))
-        lows = first.join(labels.filter("label <> sid"), "sid", "left").groupBy(F.coalesce("label", "sid").alias("class")).agg(F.min("first_id").alias("low"))
-        moved = members.join(lows, "class", "left")
-        component = F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id"))
-        return durable(moved.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
-                       .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
-
-
-def _labels(asked: DataFrame, links: DataFrame, space: Workspace) -> DataFrame:
-    found = components(links, space).select(F.col("node").alias("sid"), "label")
-    return space.table(asked.join(found, "sid", "left").select("sid", F.coalesce("label", "sid").alias("label")), "labels")
-
-
-def _rest(here: DataFrame, sets: DataFrame, crowd: np.ndarray, k: int, percent: int, block: int, space: Workspace) -> DataFrame:
-    """Links left in lists of several components: each list is cut into blocks, each pair of blocks is one group."""
-    open_ = here.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("value")
-    left = here.join(open_, "value").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
-    left = left.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("value", "sid", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    withsets = dealt.join(sets, "sid")
-    return space.table(withsets.groupBy("value", "i", "j").applyInPandas(_block_links(crowd, k, percent), "a binary, b binary").distinct(), "rest")
+        # a row is known by its id and a hash of its text; rows equal in both have one set
+        given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.struct(F.col("id").alias("i"), F.xxhash64("text").alias("h")))
+        search = _Search(given.select("row", "text"), space, percent, words, k, wide, block)
+        made = space.table(given.select("row", "text").mapInArrow(_sketches(k, words), "row struct<i:long,h:long>, n long, sid binary, sketch array<long>"), "made")
+        names = space.table(made.select("row", "n", "sid"), "names")
+        # a class is the documents of one set; any of its rows stands for it, here the first
+        search.reps = space.table(made.filter("n > 0").groupBy("sid").agg(F.min(F.struct("row", "n", "sketch")).alias("m")).select("sid", "m.*"), "reps")
+        space.drop(made)
+        shared = search.lists()
+        links = search.links(search.pivot_pairs(shared))
+        links = links.union(search.links(search.rest_pairs(shared, search.labels(links))))
+        labels = search.labels(links)
+
+        classes = names.filter("n > 0").groupBy("sid").agg(F.min("row.i").alias("first")).join(labels, "sid", "left")
+        classes = classes.select("sid", "first", F.coalesce("label", "sid").alias("label"))
+        lows = classes.groupBy("label").agg(F.min("first").alias("low"))
+        low_of = classes.join(lows, "label").select("sid", "low")
+        component = F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("row.i"))
+        found = names.join(low_of, "sid", "left").select(F.col("row.i").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+        return durable(found.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
