@@ -22,7 +22,6 @@ import math
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,7 +35,7 @@ SKETCH = 64
 MISS = 1e-7
 BIN_BITS = 16
 WIDE = 256
-BLOCK = 256
+BLOCK = 1024
 
 # odd multipliers, one per place in a shingle, drawn from the hash itself
 _PLACE = np.array([xxhash.xxh3_64_intdigest(f"place {i}") | 1 for i in range(64)], dtype=np.uint64)
@@ -140,48 +139,89 @@ def _incidence(sets: list[np.ndarray], values: np.ndarray) -> np.ndarray:
     return grid
 
 
-def _block_links(wide: int, percent: int):
-    """Pairs between the two halves of a block pair that may be linked; those of one component are left out."""
-    loose = least_overlap(wide, percent)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        sid = pdf["sid"].map(bytes)
-        order = np.argsort(sid.to_numpy())
-        ids, block, n = sid.to_numpy()[order], pdf["block"].to_numpy()[order], pdf["n"].to_numpy()[order]
-        low = [np.unique(np.asarray(x, dtype=np.int32)) for x in pdf["low"].to_numpy()[order]]
-        label = pd.factorize(pdf["label"].map(bytes).to_numpy()[order])[0]
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        shared = np.zeros((len(left), len(right)), np.float32)
+def _pairs_of(rows: dict, value: int, same: bool, wide: int, percent: int) -> list[tuple[bytes, bytes]]:
+    """Pairs between the halves of one group that may be linked; those of one component are left out."""
+    n, label, low, mine = rows["n"], rows["label"], rows["low"], rows["mine"]
+    half = rows["block"] == rows["i"]
+    left, right = (np.flatnonzero(half), np.flatnonzero(half)) if same else (np.flatnonzero(half), np.flatnonzero(~half))
+    n_l, n_r = n[left][:, None], n[right][None, :]
+    fits = (100 * np.minimum(n_l, n_r) >= percent * np.maximum(n_l, n_r)) & (label[left][:, None] != label[right][None, :])
+    if same:
+        fits &= left[:, None] < right[None, :]
+    if not fits.any():
+        return []
+    # a pair is looked at in the first list that both are in
+    lists, times = np.unique(np.concatenate(mine), return_counts=True)
+    lists = lists[(times > 1) & (lists < value)]
+    at_l, at_r = [mine[x] for x in left], [mine[x] for x in right]
+    for at in range(0, len(lists), 2048):
+        fits &= _incidence(at_l, lists[at : at + 2048]) @ _incidence(at_r, lists[at : at + 2048]).T == 0
+    if not fits.any():
+        return []
+    shared = np.zeros(fits.shape, np.float32)
+    if fits.sum() < 64:
+        for a, b in zip(*np.nonzero(fits)):
+            shared[a, b] = len(np.intersect1d(low[left[a]], low[right[b]], assume_unique=True))
+    else:
         values, times = np.unique(np.concatenate(low), return_counts=True)
         pool = values[times > 1]
         for at in range(0, len(pool), 2048):
             part = pool[at : at + 2048]
             shared += _incidence([low[x] for x in left], part) @ _incidence([low[x] for x in right], part).T
-        n_l, n_r = n[left][:, None], n[right][None, :]
-        whole = np.maximum(n_l, n_r) <= wide  # both sets are in the signature to the last value
-        fits = (100 * np.minimum(n_l, n_r) >= percent * np.maximum(n_l, n_r)) & (label[left][:, None] != label[right][None, :])
-        fits &= np.where(whole, 100 * shared >= percent * (n_l + n_r - shared), shared >= np.minimum(loose, overlap_bound(np.maximum(n_l, n_r), wide, percent)))
-        # surely linked even if two values met by chance in their 32 bits: one such link connects, others are spared
-        sure = whole & (100 * (shared - 2) >= percent * (n_l + n_r - shared + 2))
-        if i == j:
-            fits &= left[:, None] < right[None, :]
-        parent = list(range(label.max() + 1))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        out = []
-        for a, b in zip(*np.nonzero(fits)):
-            x, y = root(label[left[a]]), root(label[right[b]])
-            if x != y:
-                out.append((ids[left[a]], ids[right[b]]))
-                if sure[a, b]:
-                    parent[x] = y
-        return pd.DataFrame(out, columns=["a", "b"])
+    whole = np.maximum(n_l, n_r) <= wide  # both sets are in the signature to the last value
+    fits &= np.where(whole, 100 * shared >= percent * (n_l + n_r - shared), shared >= overlap_bound(np.maximum(n_l, n_r), wide, percent))
+    # surely linked even if two values met by chance in their 32 bits: one such link connects, others are spared
+    sure = whole & (100 * (shared - 2) >= percent * (n_l + n_r - shared + 2))
+    parent: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for a, b in zip(*np.nonzero(fits)):
+        x, y = root(label[left[a]]), root(label[right[b]])
+        if x != y:
+            out.append((rows["sid"][left[a]], rows["sid"][right[b]]))
+            if sure[a, b]:
+                parent[x] = y
+    return out
+
+
+def _block_pairs(wide: int, percent: int):
+    """Rows sorted by group (value, i, j) -> pairs; groups are cut out of the stream, the last one waits for its rest."""
+
+    def run(batches: Batches) -> Batches:
+        waiting: pa.Table | None = None
+
+        def groups(table: pa.Table, last: bool) -> pa.Table | None:
+            key = np.stack([table[c].to_numpy() for c in ("value", "i", "j")])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), table.num_rows]
+            done = cuts if last else cuts[:-1]
+            columns = {c: table[c].combine_chunks() for c in ("low", "mine")}
+            rows = {c: list_rows(x.chunk(0) if isinstance(x, pa.ChunkedArray) else x) for c, x in columns.items()}
+            rows["low"] = [np.unique(x) for x in rows["low"]]
+            plain = {c: table[c].to_numpy() for c in ("n", "block", "i")} | {c: np.array(table[c].to_pylist(), dtype=object) for c in ("sid", "label")}
+            found = []
+            for a, b in zip(done, done[1:]):
+                part = {c: x[a:b] for c, x in (rows | plain).items()}
+                found += _pairs_of(part, int(key[0, a]), key[1, a] == key[2, a], wide, percent)
+            if found:
+                made.append(pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found)], names=["a", "b"]))
+            return None if last else table.slice(done[-1])
+
+        for batch in batches:
+            made: list[pa.RecordBatch] = []
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch]) if waiting is None else pa.concat_tables([waiting, pa.Table.from_batches([batch])])
+                waiting = groups(table.combine_chunks(), False)
+                yield from made
+        if waiting is not None and waiting.num_rows:
+            made = []
+            groups(waiting.combine_chunks(), True)
+            yield from made
 
     return run
 
@@ -207,9 +247,13 @@ class _Search:
         self.given, self.space, self.percent, self.words, self.k, self.wide, self.block = given, space, percent, words, k, wide, block
 
     def texts_of(self, sids: DataFrame) -> DataFrame:
-        """(sid, text): one document of each class; the ids are a written table, so Spark knows whether they can be broadcast."""
+        """(sid, text): one document of each class."""
         ids = self.space.table(self.reps.join(sids, "sid", "left_semi").select("sid", "row"), "ids")
-        return self.given.join(ids, "row").select("sid", "text")
+        # texts whose hash falls in no wanted bin stay where they are; at most 2^20 bins are broadcast
+        bin_ = F.pmod(F.xxhash64("row"), F.lit(1 << 20)).cast("int")
+        wanted = ids.select(bin_.alias("bin")).distinct()
+        likely = self.given.withColumn("bin", bin_).join(F.broadcast(wanted), "bin", "left_semi").drop("bin")
+        return likely.join(ids, "row").select("sid", "text")
 
     def crowding(self) -> np.ndarray:
         """Values per hash bin, 0 for bins as full as chance makes them."""
@@ -256,11 +300,14 @@ class _Search:
         left = self.space.table(here.join(open_, "value"), "left")
         texts = self.texts_of(left.select("sid").distinct())
         signatures = self.space.table(texts.mapInArrow(_signatures(self.wide, self.words), "sid binary, n long, low array<int>"), "signatures")
+        lists_of = left.groupBy("sid").agg(F.array_sort(F.collect_list("value")).alias("mine"))  # no more than a class is listed under
         cut = left.withColumn("blocks", F.ceil(F.col("members") / self.block).cast("int"))
         cut = cut.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
         dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("value", "sid", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        return dealt.join(signatures, "sid").groupBy("value", "i", "j").applyInPandas(_block_links(self.wide, self.percent), "a binary, b binary").distinct()
+        full = dealt.join(signatures.join(lists_of, "sid"), "sid").select("value", "i", "j", "block", "sid", "label", "n", "low", "mine")
+        grouped = full.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j", "sid")
+        return grouped.mapInArrow(_block_pairs(self.wide, self.percent), "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int = 5,
