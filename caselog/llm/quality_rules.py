@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselog.session import Workspace, durable
+
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 TRUSTED = 0.01
@@ -102,18 +104,19 @@ def apply_host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     are judged row by row. A host's overall rate counts documents that fail the base or any rule. Other columns, whatever
     their names, are ignored.
     """
-    measured = measures(docs.select(F.col(id_col).alias("_id"), F.col(host).alias("_host"), F.col(text_col).alias("_text")), ["_id", "_host"], "_text")
-    failures = rules()
-    marked = measured.withColumn("base_failed", base_failed()).withColumns({f"fails_{f}": F.coalesce(c, F.lit(False)) for f, c in failures.items()})
-    names = [f"fails_{f}" for f in failures]
-    any_rule = F.greatest("base_failed", *names)
-    marked = marked.withColumn("fails_any", any_rule)
-    rates = host_rates(marked, "_host", [*names, "fails_any"]).withColumnRenamed("host", "_h").drop("n")
-    # the join is on a struct, so that null meets null
-    judged = marked.join(rates, F.struct(F.col("_host").alias("h")) == F.struct(F.col("_h").alias("h")))
-    against = [F.col(f) & (F.col(f"rate_{f}") >= trusted) for f in names]
-    verdict = F.greatest(*against, F.col("rate_fails_any") >= failing)
-    failed = F.array_compact(F.array(*[F.when(F.col(f"fails_{f}"), F.lit(f)) for f in failures]))
-    return judged.select(
-        F.col("_id").alias(id_col), F.col("_host").alias(host), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        failed.alias("failed_rules"), F.col("rate_fails_any").alias("host_rate"), (~F.col("base_failed") & ~verdict).alias("kept"))
+    with Workspace(docs.sparkSession) as space:
+        # the costly part runs once: the rates and the verdicts both read what was measured
+        measured = space.table(measures(docs.select(F.col(id_col).alias("_id"), F.col(host).alias("_host"), F.col(text_col).alias("_text")), ["_id", "_host"], "_text"), "measured")
+        failures = rules()
+        marked = measured.withColumn("base_failed", base_failed()).withColumns({f"fails_{f}": F.coalesce(c, F.lit(False)) for f, c in failures.items()})
+        names = [f"fails_{f}" for f in failures]
+        marked = marked.withColumn("fails_any", F.greatest("base_failed", *names))
+        rates = host_rates(marked, "_host", [*names, "fails_any"]).withColumnRenamed("host", "_h").drop("n")
+        # the join is on a struct, so that null meets null
+        judged = marked.join(rates, F.struct(F.col("_host").alias("h")) == F.struct(F.col("_h").alias("h")))
+        against = [F.col(f) & (F.col(f"rate_{f}") >= trusted) for f in names]
+        verdict = F.greatest(*against, F.col("rate_fails_any") >= failing)
+        failed = F.array_compact(F.array(*[F.when(F.col(f"fails_{f}"), F.lit(f)) for f in failures]))
+        return durable(judged.select(
+            F.col("_id").alias(id_col), F.col("_host").alias(host), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+            failed.alias("failed_rules"), F.col("rate_fails_any").alias("host_rate"), (~F.col("base_failed") & ~verdict).alias("kept")))
