@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 Batches = Iterator[pa.RecordBatch]
 
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 
 def sliced(batches: Batches, column: int, most: int = SLICE_BYTES) -> Batches:
@@ -19,7 +20,7 @@ def sliced(batches: Batches, column: int, most: int = SLICE_BYTES) -> Batches:
         if batch.num_rows == 0:
             continue
         text = batch.column(column)
-        sizes = np.nan_to_num(np.asarray(text.cast(pa.binary()).to_pandas().map(lambda b: 0 if b is None else len(b)), dtype=float))
+        sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         place = (np.cumsum(sizes) // most).astype(np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
@@ -44,14 +45,22 @@ def list_rows(column: pa.ListArray) -> list[np.ndarray]:
 class Cache:
     """Values kept by key for one task; emptied when full, so it stays bounded whatever the vocabulary."""
 
-    def __init__(self, compute: Callable, most: int = 400_000):
+    def __init__(self, compute: Callable, most: int = 300_000):
         self.compute, self.most, self.kept = compute, most, {}
 
-    def all(self, keys: list) -> dict:
-        """The dictionary, holding at least these keys; new ones are computed together."""
-        if len(self.kept) > self.most:
-            self.kept = {}
-        new = [k for k in dict.fromkeys(keys) if k not in self.kept]
-        if new:
+    def values(self, keys: list) -> list:
+        """The value of each key, none of them None; new keys are computed together."""
+        found = list(map(self.kept.get, keys))
+        if None in found:
+            new = list(dict.fromkeys(k for k, v in zip(keys, found) if v is None))
+            if len(self.kept) + len(new) > self.most:
+                self.kept = {k: v for k, v in zip(keys, found) if v is not None}
             self.kept.update(zip(new, self.compute(new)))
-        return self.kept
+            found = list(map(self.kept.__getitem__, keys))
+        return found
+
+    def rows(self, rows: list[list]) -> list[list]:
+        """The values of several rows of keys; what is new in any of them is computed in one go."""
+        flat = self.values([k for row in rows for k in row])
+        cuts = np.cumsum([0, *map(len, rows)]).tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]

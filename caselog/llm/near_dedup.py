@@ -50,8 +50,7 @@ def shingle_set(text: bytes | None, cache: Cache, words: int) -> np.ndarray:
     found = (text or b"").lower().split()
     if not found:
         return np.empty(0, dtype=np.int64)
-    known = cache.all(found)
-    h = np.array([known[w] for w in found], dtype=np.uint64)
+    h = np.array(cache.values(found), dtype=np.uint64)
     if len(h) < words:
         mixed = (h * _PLACE[: len(h)]).sum(keepdims=True) + np.uint64(len(h))
     else:

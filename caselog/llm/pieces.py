@@ -227,10 +227,8 @@ class Pieces:
             best[at, stop], back[at, stop], piece[at, stop] = total[better], s, -1
         return [self._trace(b, r, p) for b, r, p in zip(data, back.tolist(), piece.tolist())]
 
-    def encode(self, text: str, cache: Cache) -> np.ndarray:
-        units = self.units(text)
-        known = cache.all(units)
-        return np.frombuffer(b"".join([known[u] for u in units]), dtype=np.int32)
+    def encode(self, texts: list[str], cache: Cache) -> list[np.ndarray]:
+        return [np.frombuffer(b"".join(paths), dtype=np.int32) for paths in cache.rows([self.units(t) for t in texts])]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join([self.surface[i] for i in ids]).decode("utf-8", "replace")
@@ -255,7 +253,7 @@ def encode_pieces(docs: DataFrame, pieces: Pieces, text_col: str = "text", out:
         cache = Cache(pieces.paths)
         for batch in sliced(batches, at):
             texts = batch.column(at).to_pylist()
-            ids = list_array([pieces.encode(t or "", cache) for t in texts], pa.int32())
+            ids = list_array(pieces.encode([t or "" for t in texts], cache), pa.int32())
             if any(t is None for t in texts):
                 ids = pa.array([None if t is None else x for t, x in zip(texts, ids.to_pylist())], pa.list_(pa.int32()))
             yield _with(batch, ids, out)

@@ -138,8 +138,7 @@ def _word_counts(batches: Batches) -> Batches:
         each = []
         for text in batch.column(0).to_pylist():
             words = list(set(WORD.findall((text or "").lower())))
-            known = cache.all(words)
-            each.append(np.array([known[w] for w in words], dtype=np.int64))
+            each.append(np.array(cache.values(words), dtype=np.int64))
         t, n = np.unique(np.concatenate(each), return_counts=True)
         if len(t):
             held.append((t, n))

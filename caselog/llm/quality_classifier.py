@@ -60,8 +60,7 @@ def grams(text: str | None, cache: Cache) -> np.ndarray:
     tokens = TOKEN.findall(text or "")
     if not tokens:
         return np.empty(0, dtype=np.int32)
-    known = cache.all(tokens)
-    both = np.array([known[t] for t in tokens], dtype=np.uint64)
+    both = np.array(cache.values(tokens), dtype=np.uint64)
     word, shape = both[:, 0], both[:, 1].copy()
     again = np.concatenate([[False], word[1:] == word[:-1]])
     shape[again] ^= _ODD[5]

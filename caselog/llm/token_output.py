@@ -7,7 +7,8 @@ are small enough for page indexes to skip: a reader that filters on doc_id opens
 one that wants lengths or places never touches the ids.
 
 Text is encoded by the tokenizers library. Chunks (a blank after a non-blank begins one) can't share a token with their
-neighbours, so a task keeps the ids of the chunks it has met and hands only new ones to the library.
+neighbours, so a worker keeps the ids of the chunks it has met and hands only new ones to the library, strung together
+and parted again by the bytes that each id stands for.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from caselog.llm.arrow import Batches, Cache, list_array, list_rows, sliced
 
 END_ID = 2
 _AFTER_BLANK = re.compile(r"\s ")
+_PLAIN = re.compile(r" \S+\Z")
+STRING = 4096
 _CUT = re.compile(r"(?<=\S)(?= )")
 _FORMAT = {
     "compression": "zstd", "parquet.writer.version": "v2", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10),
@@ -42,25 +45,53 @@ def chunks(text: str) -> list[str]:
     return [first, *[" " + r for r in rest]] if first or rest else []
 
 
-def _encoder(tokenizer_path: str) -> Cache:
-    from tokenizers import Tokenizer
+class Encoder:
+    """Ids of chunks as bytes, by one tokenizer."""
 
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return Cache(lambda new: [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(new, add_special_tokens=False)])
+    def __init__(self, tokenizer_path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)  # byte-level: a letter of a piece is a byte
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.bytes_of[i] = len(piece)
+
+    def __call__(self, new: list[str]) -> list[bytes]:
+        out: dict[str, bytes] = {}
+        plain = [c for c in new if _PLAIN.match(c)]
+        for at in range(0, len(plain), STRING):
+            part = plain[at : at + STRING]
+            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.cumsum([len(c.encode()) for c in part])
+            reached = np.cumsum(self.bytes_of[ids])
+            cuts = np.searchsorted(reached, ends)
+            if (reached[np.minimum(cuts, len(reached) - 1)] == ends).all():  # every chunk ends where a token does
+                data, stops = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
+                out.update((c, data[a:b]) for c, a, b in zip(part, stops, stops[1:]))
+        rest = [c for c in new if c not in out]
+        out.update(zip(rest, (np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(rest, add_special_tokens=False))))
+        return [out[c] for c in new]
+
+
+_encoders: dict[str, Cache] = {}
+
+
+def encoder(tokenizer_path: str) -> Cache:
+    """The worker's cache for a tokenizer; it serves all tasks of the worker."""
+    if tokenizer_path not in _encoders:
+        _encoders[tokenizer_path] = Cache(Encoder(tokenizer_path))
+    return _encoders[tokenizer_path]
 
 
 def _encode(tokenizer_path: str, end_id: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Batches) -> Batches:
-        cache, part, start = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        cache, part, start = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in sliced(batches, 1):
-            rows = []
-            for text in batch.column(1).to_pylist():
-                found = chunks(text or "")
-                known = cache.all(found)
-                rows.append(np.frombuffer(b"".join([known[c] for c in found]) + end, dtype="<u4").astype(np.int32))
+            found = cache.rows([chunks(text or "") for text in batch.column(1).to_pylist()])
+            rows = [np.frombuffer(b"".join(ids) + end, dtype=np.int32) for ids in found]
             sizes = np.array([len(r) for r in rows], dtype=np.int64)
             starts = start + np.cumsum(sizes) - sizes
             start += int(sizes.sum())

@@ -63,8 +63,7 @@ class ToxicModel:
     def sentences(self, text: str | None, cache: Cache) -> np.ndarray:
         """Log-odds of each sentence that has a word."""
         parts = PART.findall((text or "").lower())
-        known = cache.all(parts)
-        w = np.array([known[p] for p in parts], dtype=float)
+        w = np.array(cache.values(parts), dtype=float)
         end = np.isnan(w)
         if end.all():
             return np.empty(0)
@@ -82,8 +81,7 @@ def _features(batches: Batches) -> Batches:
     cache = Cache(_word_ids)
     for batch in sliced(batches, 1):
         texts = [PART.findall(t.lower()) for t in batch.column(1).to_pylist()]
-        known = cache.all([p for t in texts for p in t])
-        rows = [np.array([known[p] for p in t], dtype=np.int64) for t in texts]
+        rows = [np.array(cache.values(t), dtype=np.int64) for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column(0), list_array(rows, pa.int64()), batch.column(2), pa.array([sorted(set(t)) for t in texts])],
                                          names=["id", "f", "y", "words"])
 
