@@ -45,7 +45,7 @@ def list_rows(column: pa.ListArray) -> list[np.ndarray]:
 class Cache:
     """Values kept by key for one task; emptied when full, so it stays bounded whatever the vocabulary."""
 
-    def __init__(self, compute: Callable, most: int = 300_000):
+    def __init__(self, compute: Callable, most: int = 120_000):
         self.compute, self.most, self.kept = compute, most, {}
 
     def values(self, keys: list) -> list:
