@@ -19,8 +19,8 @@ def unit_hash(key, seed: int | str) -> Column:
 
 
 def hash_pick(key, seed: int | str, n) -> Column:
-    """A whole number in [0, n) taken from the first 24 bits of the shuffle key."""
-    number = F.conv(F.substring(shuffle_key(key, seed), 1, 6), 16, 10).cast("bigint")
+    """A whole number in [0, n) taken from the first 60 bits of the shuffle key."""
+    number = F.conv(F.substring(shuffle_key(key, seed), 1, 15), 16, 10).cast("bigint")
     return number % (n if isinstance(n, Column) else F.lit(n))
 
 

@@ -17,9 +17,9 @@ def words(c) -> Column:
 
 
 def split_tokens(c, lower: bool = True) -> Column:
-    """Pieces between white space."""
+    """Pieces between white space of any script."""
     text = F.lower(col(c)) if lower else col(c)
-    return F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    return F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
 
 
 def ngrams(tokens, low: int = 1, high: int = 1) -> Column:

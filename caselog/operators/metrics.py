@@ -33,7 +33,7 @@ def roc_auc(df: DataFrame, score: str, positive: Column, by: list[str] = (), spa
 
     earlier = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     total = per_slice.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    won = F.sum(F.col("_w") + F.col("_p") * F.col("_before"))
+    won = F.sum(F.col("_w") + F.col("_p").cast("double") * F.col("_before"))
     both = F.sum("_p").cast("double") * F.sum("_n").cast("double")
     return total.groupBy(*by).agg(F.try_divide(won, both).alias("auc"))
 

@@ -340,14 +340,19 @@ class FourierFeatures(Model):
 
 
 def fit_classifier(method: str, train: DataFrame, size: int, n: int, options: dict) -> PipelineModel:
-    """Fit on columns features, label_index, weight; the result adds ``p``: probabilities per class."""
+    """Fit on columns features, label_index, weight; the result adds ``p``: probabilities per class.
+
+    Forests grow 30 levels at most, which is also what no ``max_depth`` means; a larger depth or an unknown option raises.
+    """
     o = dict(options)
     seed = o.pop("random_state", 22)
     if method == "rf":
-        depth = o.pop("max_depth", None)  # the library stops at 30 levels and has no min_samples_split
+        depth = o.pop("max_depth", None)
+        if depth is not None and depth > 30:
+            raise ValueError(f"max_depth is at most 30, not {depth}")
         forest = C.RandomForestClassifier(
             featuresCol="features", labelCol="label_index", weightCol="weight", probabilityCol="_probability", predictionCol="",
-            rawPredictionCol="", numTrees=o.pop("n_estimators", 100), maxDepth=30 if depth is None else min(depth, 30),
+            rawPredictionCol="", numTrees=o.pop("n_estimators", 100), maxDepth=30 if depth is None else depth,
             minInstancesPerNode=o.pop("min_samples_leaf", 1), seed=seed,
             # keep each row's node between rounds instead of sending all trees out again
             cacheNodeIds=True, maxMemoryInMB=o.pop("max_memory_mb", 1024))
@@ -369,6 +374,8 @@ def fit_classifier(method: str, train: DataFrame, size: int, n: int, options: di
             stages = [scaler, mapped, margin, platt]
     else:
         raise ValueError("cls_method is rf, logit or svm")
+    if o:
+        raise ValueError(f"unknown options for {method}: {sorted(o)}")
     return Pipeline(stages=stages).fit(train)
 
 

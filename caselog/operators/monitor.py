@@ -100,8 +100,11 @@ def evaluate(decided: DataFrame, positive, unit: str = "case", max_events: int |
     return with_rates(counts)
 
 
-def evaluate_two_sided(fired: DataFrame, cases: DataFrame, positive, max_events: int | None = None) -> DataFrame:
-    """Counts and rates per level from two-sided alerts; ``cases`` has one labelled row per case."""
+def evaluate_two_sided(fired: DataFrame, cases: DataFrame, positive, max_events: int | None = None, confidences: list[float] = ()) -> DataFrame:
+    """Counts and rates per level from two-sided alerts; ``cases`` has one labelled row per case.
+
+    Levels named in ``confidences`` have a row also where nothing was sure enough, with zeros.
+    """
     pos = F.col("label") == F.lit(positive)
     said = F.col("prediction") == F.lit(positive)
     span = F.col("case_length") if max_events is None else F.least("case_length", F.lit(max_events))
@@ -110,6 +113,9 @@ def evaluate_two_sided(fired: DataFrame, cases: DataFrame, positive, max_events:
         F.count_if(~said & ~pos).alias("tn"), F.count_if(~said & pos).alias("fn"),
         F.count(F.lit(1)).alias("n_alerts"), F.avg(F.col("nr_events") / span).alias("earliness"),
         F.avg("nr_events").alias("mean_nr_events"))
+    if confidences:
+        levels = fired.sparkSession.createDataFrame([(float(c),) for c in confidences], "confidence double")
+        counts = levels.join(counts, "confidence", "left").na.fill(0)
     totals = cases.agg(F.count_if(pos).alias("positives"), F.count(F.lit(1)).alias("n_cases"))
     return with_rates(counts.crossJoin(F.broadcast(totals)))  # one row
 

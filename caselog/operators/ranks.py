@@ -23,7 +23,7 @@ def row_number_by_slice(df: DataFrame, by: list[str], order: list[Column], slice
     big side is not shuffled again whichever join Spark picks.
     """
     group = F.struct(*by) if by else F.lit(0)  # struct keys also match null with null
-    cut = df.withColumn("_g", group).withColumn("_s", slice_)
+    cut = df.withColumn("_g", group).withColumn("_s", F.struct(slice_.alias("s")))  # a struct: a null slice is a slice
     sizes = cut.groupBy("_g", "_s").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_g").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_g", "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -33,10 +33,10 @@ def user_day_log(spark, sf):
 
 
 @query("case_left_join", "JN-1 WI-3", """
-with n as (select l_orderkey, sum(l_quantity) as qty from lineitem where l_returnflag = 'A' group by l_orderkey)
+with n as (select l_orderkey, sum(l_quantity) as qty from lineitem group by l_orderkey)
 select o_orderkey, o_orderstatus, qty from orders left join n on o_orderkey = l_orderkey""")
 def case_left_join(spark, sf):
-    qty = table(spark, sf, "lineitem").filter("l_returnflag = 'A'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("qty"))
+    qty = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("qty"))
     return E.with_case_value(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", qty)
 
 

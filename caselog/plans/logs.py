@@ -83,6 +83,11 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").repartition("doc_id").join(table(spark, sf_dir, "labels"), "doc_id")
 
 
+def all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, placed like the labelled ones."""
+    return table(spark, sf_dir, "documents").repartition("doc_id")
+
+
 # The same logs in SQL, for the checks.
 EVENTS_SQL = """events_log as (
   select *, l_orderkey as case_id,
@@ -105,5 +110,6 @@ ulog as (
     max(case when event_type = 'purchase' then 1 else 0 end) over (partition by case_id) as label
   from user_days)"""
 DOCS_SQL = "docs as (select * from documents join labels using (doc_id))"
+ALL_DOCS_SQL = "docs as (select * from documents)"
 CASES_SQL = "cases as (select case_id, max(label) as label, max(case_length) as case_length from log group by case_id)"
 CONF_SQL = "confs as (select unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])::double as confidence)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from caselog.operators import experiments as X
 from caselog.operators import metrics, monitor, split
 from caselog.operators.models import LogSpec, OutcomeModel, TopicModel, WordVectors, p_of
-from caselog.plans.logs import labelled_documents, order_log
+from caselog.plans.logs import all_documents, order_log
 from caselog.plans.registry import query
 from caselog.session import durable
 
@@ -61,14 +61,14 @@ def topic_model_probabilities(spark, sf):
 
 @query("document_topics", "TX-13")
 def document_topics(spark, sf):
-    docs = labelled_documents(spark, sf).select(F.col("doc_id").alias("doc"), "text")
+    docs = all_documents(spark, sf).select(F.col("doc_id").alias("doc"), "text")
     model = TopicModel(num_topics=10, tfidf=False, passes=1, min_freq=1).fit(docs)
     return model.transform(docs).select("doc", *[F.round(F.col("values")[i], 6).alias(f"topic{i + 1}_event1") for i in range(10)])
 
 
 @query("document_vectors", "TX-14")
 def document_vectors(spark, sf):
-    docs = labelled_documents(spark, sf).select(F.col("doc_id").alias("doc"), "text")
+    docs = all_documents(spark, sf).select(F.col("doc_id").alias("doc"), "text")
     model = WordVectors(size=8, window=5, min_count=2).fit(docs)
     return model.transform(docs).select("doc", *[F.round(F.col("values")[i], 6).alias(f"pv{i + 1}_event1") for i in range(8)])
 
@@ -76,7 +76,7 @@ def document_vectors(spark, sf):
 @query("prefix_scores", "MN-1 MN-2")
 def prefix_scores(spark, sf):
     train, test = sides(spark, sf)
-    return X.CaseMonitor(SPEC, cls_options=FOREST).train(train, 3).score(test).withColumn("score", F.round("score", 6)).drop("p_neg")
+    return X.CaseMonitor(SPEC, cls_options=FOREST).train(train, 3).score(test).withColumn("score", F.round("score", 6)).drop("p_0", "p_1")
 
 
 @query("monitored_alerts", "MN-3 MN-5 MN-7 UD-5")

@@ -86,14 +86,15 @@ r as (select *, rank() over (partition by confidence, case_id order by event_nr)
 c as (select confidence, count(*) filter (where prediction = 1 and label = 1) as tp, count(*) filter (where prediction = 1 and label = 0) as fp,
   count(*) filter (where prediction = 0 and label = 0) as tn, count(*) filter (where prediction = 0 and label = 1) as fn,
   avg(event_nr / case_length::double) as earliness from r where rk = 1 group by confidence)
-select confidence, tp, fp, tn, fn, round(tp / (select sum(label) from cases), 6) as recall, round((tp + tn) / (tp + tn + fp + fn)::double, 6) as accuracy,
-  round(tp / (tp + fp)::double, 6) as "precision", round(earliness, 6) as earliness from c""")
+select confidence, coalesce(tp, 0) as tp, coalesce(fp, 0) as fp, coalesce(tn, 0) as tn, coalesce(fn, 0) as fn, round(coalesce(tp, 0) / (select sum(label) from cases), 6) as recall,
+  coalesce(round((tp + tn) / nullif(tp + tn + fp + fn, 0)::double, 6), 0) as accuracy, coalesce(round(tp / nullif(tp + fp, 0)::double, 6), 0) as "precision",
+  round(coalesce(earliness, 0), 6) as earliness from confs left join c using (confidence)""")
 def two_sided_metrics(spark, sf):
     p = F.least(F.col("score"), F.lit(1.0))
     scores = order_scores(spark, sf).withColumn("p1", p).withColumn("p0", 1.0 - p)
     fired = monitor.two_sided_alerts(scores, "case_id", "event_nr", monitor.CONFIDENCES, {1: "p1", 0: "p0"})
     cases = order_log(spark, sf, parts=False).filter("event_nr = 1")
-    m = monitor.evaluate_two_sided(fired, cases, 1)
+    m = monitor.evaluate_two_sided(fired, cases, 1, confidences=monitor.CONFIDENCES)
     return m.select("confidence", "tp", "fp", "tn", "fn", *[F.round(c, 6).alias(c) for c in ("recall", "accuracy", "precision", "earliness")])
 
 

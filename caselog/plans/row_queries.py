@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from caselog.functions import scalars as S
 from caselog.functions import text as T
 from caselog.operators import clean
-from caselog.plans.logs import DOCS_SQL, LOG_SQL, SCORES_SQL, labelled_documents, order_log, order_scores, table
+from caselog.plans.logs import ALL_DOCS_SQL, LOG_SQL, SCORES_SQL, all_documents, order_log, order_scores, table
 from caselog.plans.registry import query
 
 ROW = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
@@ -156,14 +156,14 @@ def event_descriptions(spark, sf):
 
 
 @query("lemmatised_texts", "PR-17", f"""
-with {DOCS_SQL}, tok as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) as token,
+with {ALL_DOCS_SQL}, tok as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) as token,
     generate_subscripts(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), 1) as pos from docs),
 lex as (select distinct token, substr(token, 1, length(token) - 1) as lemma from tok where token like '%s' and length(token) > 3),
 lem as (select doc_id, pos, coalesce(lemma, token) as w from tok left join lex using (token)),
 joined as (select doc_id, string_agg(w, ' ' order by pos) as lemmas from lem group by doc_id)
 select doc_id, coalesce(lemmas, '') as lemmas from docs left join joined using (doc_id)""")
 def lemmatised_texts(spark, sf):
-    docs = labelled_documents(spark, sf).select("doc_id", T.words("text").alias("tokens"))
+    docs = all_documents(spark, sf).select("doc_id", T.words("text").alias("tokens"))
     seen = docs.select(F.explode("tokens").alias("token")).distinct()
     lexicon = seen.filter(F.col("token").endswith("s") & (F.length("token") > 3)).select(
         "token", F.expr("substring(token, 1, length(token) - 1)").alias("lemma"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from caselog.functions import text as T
 from caselog.operators import monitor, text, tune
 from caselog.operators.ranks import contiguous_ids
-from caselog.plans.logs import CONF_SQL, DOCS_SQL, SCORES_SQL, labelled_documents, order_scores, table
+from caselog.plans.logs import ALL_DOCS_SQL, CONF_SQL, SCORES_SQL, all_documents, order_scores, table
 from caselog.plans.registry import query
 from caselog.sources import files
 
@@ -22,12 +22,12 @@ def text_file_roundtrip(spark, sf):
     return files.read_text_log(spark, path, ["event_id", "ts", "event_type", "user_id"])
 
 
-@query("typed_file_roundtrip", "IO-2 IO-4", "select doc_id, lang, source, n_chars from documents")
+@query("typed_file_roundtrip", "IO-2 IO-4", "select doc_id, lang, source, n_chars, text from documents")
 def typed_file_roundtrip(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text")
     path = files.shared_folder(spark, "typed-log")
     files.write_log(docs, path, sep=",")
-    return files.read_typed_log(spark, path, "doc_id bigint, lang string, source string, n_chars bigint", sep=",")
+    return files.read_typed_log(spark, path, "doc_id bigint, lang string, source string, n_chars bigint, text string", sep=",")
 
 
 @query("inferred_file_roundtrip", "IO-2", "select o_orderkey, o_custkey, o_orderpriority from orders")
@@ -96,16 +96,14 @@ def scanned_results(spark, sf):
     counts = fired.groupBy("confidence").agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn("metric", F.lit("n_alerts"))
     folder = files.shared_folder(spark, "results")
     files.write_metrics(counts, f"{folder}/pv_size10_window9_rf_part4")
-    rows = spark.read.option("sep", ";").option("header", True).schema(files.METRIC_SCHEMA).csv(f"{folder}/*")
-    named = rows.withColumn("file", F.element_at(F.split("_metadata.file_path", "/"), -2))
-    return tune.parse_names(named, "file").select("confidence", "value", "family", "size", "window", "cls", "part")
+    return files.scan_results(spark, f"{folder}/*").select("confidence", "value", "family", "size", "window", "cls", "part")
 
 
 @query("saved_dictionary", "IO-8 TX-4", f"""
-with {DOCS_SQL}, t as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) as term from docs)
+with {ALL_DOCS_SQL}, t as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) as term from docs)
 select term, count(distinct doc_id) as df, row_number() over (order by term) - 1 as idx from t group by term""")
 def saved_dictionary(spark, sf):
-    docs = labelled_documents(spark, sf)
+    docs = all_documents(spark, sf)
     path = files.shared_folder(spark, "dictionary")
     files.save_dictionary(text.sorted_vocabulary(text.term_counts(docs, "doc_id", T.words("text"))), path)
     return files.load_dictionary(spark, path)

@@ -83,7 +83,7 @@ def balanced_classes(spark, sf):
 with {CASES}, n as (select count(*) filter (where label = 1) as mi, count(*) filter (where label = 0) as ma from cases),
 m as (select *, row_number() over (order by {md5_order(22)}, case_id) - 1 as rk from cases where label = 1),
 d as (select unnest(range(ma - mi)) as i, mi from n),
-e as (select cast('0x' || substr({md5_order(22, 'i')}, 1, 6) as bigint) % mi as rk from d)
+e as (select cast('0x' || substr({md5_order(22, 'i')}, 1, 15) as bigint) % mi as rk from d)
 select case_id, label, count(*) as copies from (select case_id, label from cases union all select case_id, label from e join m using (rk)) group by all""")
 def oversampled_minority(spark, sf):
     more = split.oversample(labelled_cases(spark, sf), "case_id", "label", 1)

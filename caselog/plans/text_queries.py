@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from caselog.functions import text as T
 from caselog.operators import features, text
-from caselog.plans.logs import DOCS_SQL, LOG_SQL, labelled_documents, order_log
+from caselog.plans.logs import ALL_DOCS_SQL, DOCS_SQL, LOG_SQL, all_documents, labelled_documents, order_log
 from caselog.plans.registry import query
 
 WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
@@ -22,67 +22,75 @@ tot as (select term, sum({weight})::double as t from {cells} group by term), obs
 chi as (select term, sum((coalesce(o, 0) - s * t) * (coalesce(o, 0) - s * t) / (s * t)) as chi2 from tot cross join share left join obs using (term, quality) group by term)"""
 
 
+# the same over every document; nothing after it asks for a label
+ALL_DF_SQL, ALL_TOK_SQL, ALL_TFIDF_SQL = (sql.replace(DOCS_SQL, ALL_DOCS_SQL).replace("quality, ", "") for sql in (DF_SQL, TOK_SQL, TFIDF_SQL))
+
+
+def all_word_cells(spark, sf):
+    return text.term_counts(all_documents(spark, sf), "doc_id", T.words("text"))
+
+
 def word_cells(spark, sf, keep=("quality",)):
     return text.term_counts(labelled_documents(spark, sf), "doc_id", T.words("text"), list(keep))
 
 
-@query("word_tokens", "TX-1", f"with {DOCS_SQL} select doc_id, array_to_string({WORDS}, ' ') as tokens from docs")
+@query("word_tokens", "TX-1", f"with {ALL_DOCS_SQL} select doc_id, array_to_string({WORDS}, ' ') as tokens from docs")
 def word_tokens(spark, sf):
-    return labelled_documents(spark, sf).select("doc_id", F.array_join(T.words("text"), " ").alias("tokens"))
+    return all_documents(spark, sf).select("doc_id", F.array_join(T.words("text"), " ").alias("tokens"))
 
 
 @query("whitespace_tokens", "TX-2", f"""
-with {DOCS_SQL}, s as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') as t from docs)
+with {ALL_DOCS_SQL}, s as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') as t from docs)
 select doc_id, cast(len(t) as integer) as n_tokens, array_to_string(t, ' ') as tokens from s""")
 def whitespace_tokens(spark, sf):
     t = T.split_tokens("text")
-    return labelled_documents(spark, sf).select("doc_id", F.size(t).alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
+    return all_documents(spark, sf).select("doc_id", F.size(t).alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
 
 
 @query("ngram_counts", "TX-3 TX-5", f"""
-with {DOCS_SQL}, s as (select doc_id, {WORDS} as t from docs),
+with {ALL_DOCS_SQL}, s as (select doc_id, {WORDS} as t from docs),
 g as (select doc_id, unnest(t) as term from s union all select doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) from s)
 select doc_id, term, count(*) as tf from g group by all""")
 def ngram_counts(spark, sf):
-    return text.term_counts(labelled_documents(spark, sf), "doc_id", T.words("text"), ngram=(1, 2))
+    return text.term_counts(all_documents(spark, sf), "doc_id", T.words("text"), ngram=(1, 2))
 
 
 @query("trigram_counts", "TX-3", f"""
-with {DOCS_SQL}, s as (select doc_id, {WORDS} as t from docs),
+with {ALL_DOCS_SQL}, s as (select doc_id, {WORDS} as t from docs),
 g as (select doc_id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) as term from s)
 select term, count(*) as n from g group by all""")
 def trigram_counts(spark, sf):
-    cells = text.term_counts(labelled_documents(spark, sf), "doc_id", T.words("text"), ngram=(3, 3))
+    cells = text.term_counts(all_documents(spark, sf), "doc_id", T.words("text"), ngram=(3, 3))
     return cells.groupBy("term").agg(F.sum("tf").alias("n"))
 
 
-@query("sorted_vocabulary", "TX-4", f"with {DF_SQL} select term, df, row_number() over (order by term) - 1 as idx from df")
+@query("sorted_vocabulary", "TX-4", f"with {ALL_DF_SQL} select term, df, row_number() over (order by term) - 1 as idx from df")
 def sorted_vocabulary(spark, sf):
-    return text.sorted_vocabulary(word_cells(spark, sf, ()))
+    return text.sorted_vocabulary(all_word_cells(spark, sf))
 
 
-@query("tfidf_weights", "TX-6", f"with {TFIDF_SQL} select doc_id, term, tf, round(weight, 6) as weight from tfidf")
+@query("tfidf_weights", "TX-6", f"with {ALL_TFIDF_SQL} select doc_id, term, tf, round(weight, 6) as weight from tfidf")
 def tfidf_weights(spark, sf):
-    cells = word_cells(spark, sf, ())
-    n = labelled_documents(spark, sf).agg(F.count(F.lit(1)).alias("n_docs"))
+    cells = all_word_cells(spark, sf)
+    n = all_documents(spark, sf).agg(F.count(F.lit(1)).alias("n_docs"))
     return text.tfidf(cells, "doc_id", text.document_frequencies(cells), n).select("doc_id", "term", "tf", F.round("weight", 6).alias("weight"))
 
 
 @query("topic_tfidf_weights", "TX-7", f"""
-with {DF_SQL}, raw as (select doc_id, term, tf * log2(n / df) as w from tf join df using (term), nd), norm as (select doc_id, sqrt(sum(w * w)) as nn from raw group by doc_id)
+with {ALL_DF_SQL}, raw as (select doc_id, term, tf * log2(n / df) as w from tf join df using (term), nd), norm as (select doc_id, sqrt(sum(w * w)) as nn from raw group by doc_id)
 select doc_id, term, round(w / nn, 6) as weight from raw join norm using (doc_id)""")
 def topic_tfidf_weights(spark, sf):
-    cells = word_cells(spark, sf, ())
-    n = labelled_documents(spark, sf).agg(F.count(F.lit(1)).alias("n_docs"))
+    cells = all_word_cells(spark, sf)
+    n = all_documents(spark, sf).agg(F.count(F.lit(1)).alias("n_docs"))
     w = text.tfidf(cells, "doc_id", text.document_frequencies(cells), n, form="log2")
     return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query("frequent_token_cells", "TX-8", f"""
-with {TOK_SQL}, c as (select term, sum(tf) as n from tf group by term having sum(tf) > 5) select doc_id, term, tf from tf where term in (select term from c)""")
+with {ALL_TOK_SQL}, c as (select term, sum(tf) as n from tf group by term having sum(tf) > 5) select doc_id, term, tf from tf where term in (select term from c)""")
 def frequent_token_cells(spark, sf):
-    docs = labelled_documents(spark, sf)
-    return text.keep_terms(word_cells(spark, sf, ()), "doc_id", text.frequent_tokens(docs, T.words("text"), 5))
+    docs = all_documents(spark, sf)
+    return text.keep_terms(all_word_cells(spark, sf), "doc_id", text.frequent_tokens(docs, T.words("text"), 5))
 
 
 @query("chi_square_scores", "TX-9", f"with {chi_sql('tf', 'tf', TOK_SQL)} select term, round(chi2, 6) as chi2 from chi")
