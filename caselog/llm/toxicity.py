@@ -9,6 +9,7 @@ sentences that make a document toxic are found without ever being labelled.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from caselog.llm.arrow import Batches, Cache, list_array, list_rows, sliced
 from caselog.llm.labelled import training_rows
 
 SPACE = 1 << 18
-MOST_ROWS = 12_000
+MOST_ROWS = 8_000
 LEAST_ROWS_OF_PART = 5
 PASSES = 30
 RATE = 0.1
@@ -77,33 +78,43 @@ class ToxicModel:
 
 
 def _features(batches: Batches) -> Batches:
-    """Words of the sampled texts as hashes, and the distinct words' parts beside them."""
+    """Words of the sampled texts as hashes; the first row of a batch has the batch's distinct words beside it."""
     cache = Cache(_word_ids)
     for batch in sliced(batches, 1):
         texts = [PART.findall(t.lower()) for t in batch.column(1).to_pylist()]
         rows = [np.array(cache.values(t), dtype=np.int64) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), list_array(rows, pa.int64()), batch.column(2), pa.array([sorted(set(t)) for t in texts])],
+        yield pa.RecordBatch.from_arrays([batch.column(0), list_array(rows, pa.int64()), batch.column(2), pa.array([sorted({p for t in texts for p in t}), *[[]] * (len(texts) - 1)], pa.list_(pa.string()))],
                                          names=["id", "f", "y", "words"])
 
 
-def train_noisy_or(rows: list[np.ndarray], y: np.ndarray, parts_of: dict[int, list[int]]) -> ToxicModel:
+def parts_table(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes ascending, where each word's parts begin, parts), in flat arrays."""
+    ids = np.array(_word_ids(names), dtype=np.int64)
+    order = np.argsort(ids)
+    flat, begins = array("i"), array("q", [0])
+    for i in order.tolist():
+        flat.extend(word_parts(names[i]))
+        begins.append(len(flat))
+    return ids[order], np.array(begins), np.array(flat, dtype=np.int32)
+
+
+def train_noisy_or(rows: list[np.ndarray], y: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> ToxicModel:
     """Adagrad on the documents' log-likelihood; only word parts of several documents get a weight."""
     flat = np.concatenate(rows)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     sentence = np.cumsum((flat < 0) | np.concatenate([[False], doc[1:] != doc[:-1]]))
     keep = flat >= 0
     doc, sentence = doc[keep], np.unique(sentence[keep], return_inverse=True)[1]
-    words, place = np.unique(flat[keep], return_inverse=True)
-    place = place.astype(np.int32)
+    words, starts, part = table
+    place = np.searchsorted(words, flat[keep]).astype(np.int32)
+    del flat
     n = int(sentence[-1]) + 1
     owner = np.zeros(n, dtype=np.int64)
     owner[sentence] = doc
     # parts that several documents hold; a document counts once for a part
-    lists = [parts_of[w] for w in words.tolist()]
-    part, of = np.array([f for x in lists for f in x], dtype=np.int64), np.repeat(np.arange(len(words)), [len(x) for x in lists])
+    of = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(starts))
     pairs = np.unique(doc.astype(np.int64) * len(words) + place)
     held, held_toxic = np.zeros(SPACE), np.zeros(SPACE)
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
     owners = np.unique(pairs // len(words))
     for at, d in zip(owners, np.split(pairs % len(words), np.flatnonzero(np.diff(pairs // len(words))) + 1)):
         own = np.unique(np.concatenate([part[starts[w] : starts[w + 1]] for w in d.tolist()]))
@@ -146,8 +157,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
     if len(set(y.tolist())) < 2 or not sum(len(r) for r in rows):
         return ToxicModel(np.zeros(SPACE, dtype=np.float32), 0.0, base=float(y.mean()) if len(y) else 0.0)
     words = set(w for chunk in sample["words"].chunks for w in chunk.values.to_pylist() if w[0] not in ".!?\n")
-    names = sorted(words)
-    return train_noisy_or(rows, y, dict(zip(_word_ids(names), map(word_parts, names))))
+    return train_noisy_or(rows, y, parts_table(sorted(words)))
 
 
 def toxicity_score(model: ToxicModel, text_col: str = "text") -> Column:
