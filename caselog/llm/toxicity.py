@@ -175,17 +175,18 @@ def toxicity_score(model: ToxicModel, text_col: str = "text") -> Column:
 SPANS = "array<struct<start:int,end:int,score:double>>"
 
 
-def offending_sentences(model: ToxicModel, text_col: str = "text", threshold: float = THRESHOLD) -> Column:
-    """Sentences whose own score reaches ``threshold``: code point places (end exclusive) and score."""
+def judged(model: ToxicModel, text_col: str = "text", threshold: float = THRESHOLD) -> Column:
+    """Score of a whole text, and its sentences that reach ``threshold`` themselves: code point places (end exclusive) and score."""
 
-    @F.pandas_udf(SPANS)
-    def spans(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(f"score double, sentences {SPANS}")
+    def both(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         cache = model.cache()
         for part in parts:
-            out = []
+            scores, out = [], []
             for text in part:
+                scores.append(model.score(text, cache))
                 found = []
-                if text and model.score(text, cache) >= threshold:
+                if text and scores[-1] >= threshold:
                     start = 0
                     for stop in [m.start() for m in re.finditer(r"[.!?\n]+", text)] + [len(text)]:
                         z = model.sentences(text[start:stop], cache)
@@ -194,9 +195,9 @@ def offending_sentences(model: ToxicModel, text_col: str = "text", threshold: fl
                             found.append({"start": start, "end": stop, "score": p})
                         start = stop
                 out.append(found)
-            yield pd.Series(out)
+            yield pd.DataFrame({"score": scores, "sentences": out})
 
-    return spans(F.col(text_col))
+    return both(F.col(text_col))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
@@ -207,5 +208,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     score 0 (or the constant of a model without both classes) and have no sentences.
     """
     model = fit_toxicity(docs, labels, id_col=id_col, text_col=text_col)
-    scored = docs.withColumn(out, toxicity_score(model, text_col)).withColumn("predicted", (F.col(out) >= threshold).cast("int"))
-    return scored.withColumn("sentences", offending_sentences(model, text_col, threshold)) if sentences else scored
+    if not sentences:
+        return docs.withColumn(out, toxicity_score(model, text_col)).withColumn("predicted", (F.col(out) >= threshold).cast("int"))
+    scored = docs.withColumn("_judged", judged(model, text_col, threshold)).withColumn(out, F.col("_judged.score")).withColumn("sentences", F.col("_judged.sentences"))
+    return scored.withColumn("predicted", (F.col(out) >= threshold).cast("int")).drop("_judged")
