@@ -1,8 +1,9 @@
 """Running prefixes, alerts at the first crossing and closing of idle cases.
 
-The state per case is four numbers. Events that come late past the
-watermark are dropped by Spark, which reports their count as
-``numRowsDroppedByWatermark`` in the query progress.
+The state per case is a few numbers and, with ``hold``, the events that the
+watermark has not passed yet. Events that come late past the watermark are
+dropped by Spark, which reports their count as ``numRowsDroppedByWatermark``
+in the query progress.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 PREFIX, ALERT, CLOSED = "prefix", "alert", "closed"
 OUTPUT = "case_id string, kind string, event_nr int, event_id bigint, so_far double, score double"
-STATE = "n int, so_far double, alerted boolean, last_ms bigint"
+STATE = ("n int, so_far double, alerted boolean, closed boolean, last_ms bigint, "
+         "held_ms array<bigint>, held_id array<bigint>, held_value array<double>")
+NEW_CASE = (0, 0.0, False, False, 0, [], [], [])
 
 
 def watch_cases(
@@ -30,44 +33,72 @@ def watch_cases(
     delay: str = "1 hour",
     idle_ms: int = 24 * 3600 * 1000,
     emit: tuple[str, ...] = (ALERT, CLOSED),
+    hold: bool = False,
 ) -> DataFrame:
     """Follow every case and emit the asked kinds of rows.
 
     prefix: one row per event with its number and the running sum of ``value``.
     alert: the first event where running sum / (scale * number) reaches ``confidence``; later events give none.
     closed: a case without alert that saw no event for ``idle_ms``; the negative prediction.
-    Within a micro-batch the events of a case are put in time order, so the
-    batch size (maxFilesPerTrigger and the like) bounds what a task sorts.
+
+    A closed case keeps its mark: its later events are numbered on, and give neither an alert nor a second closing.
+    Without ``hold`` the events of a case are put in time order within a micro-batch, and numbered in order of arrival
+    over batches. With ``hold`` an event waits in the state until the watermark passes it, so the rows are those of the
+    batch answer for any order of arrival within ``delay``; they come that much later, and a state holds the events of
+    one case within ``delay``.
     """
     want_prefix, want_alert, want_closed = PREFIX in emit, ALERT in emit, CLOSED in emit
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         name = key[0]
-        if state.hasTimedOut:
-            n, so_far, alerted, _ = state.get
-            state.remove()
-            if want_closed and not alerted:
-                yield pd.DataFrame({"case_id": [name], "kind": [CLOSED], "event_nr": [n], "event_id": [None],
-                                    "so_far": [so_far], "score": [so_far / (scale * n)]}).astype({"event_id": "Int64"})
-            return
-        n, so_far, alerted, last_ms = state.get if state.exists else (0, 0.0, False, 0)
-        rows = pd.concat(list(batches)).sort_values(["ms", "event_id"], kind="stable")
-        numbers = n + pd.RangeIndex(1, len(rows) + 1).to_numpy()
-        sums = so_far + rows["value"].cumsum().to_numpy()
-        scores = sums / (scale * numbers)
-        table = pd.DataFrame({"case_id": name, "kind": PREFIX, "event_nr": numbers.astype("int32"),
-                              "event_id": rows["event_id"].to_numpy(), "so_far": sums, "score": scores})
-        if want_prefix:
-            yield table
-        if not alerted:
+        n, so_far, alerted, closed, last_ms, held_ms, held_id, held_value = state.get if state.exists else NEW_CASE
+        watermark = state.getCurrentWatermarkMs()
+        rows = pd.DataFrame({"ms": held_ms, "event_id": held_id, "value": held_value}).astype(
+            {"ms": "int64", "event_id": "Int64", "value": "float64"})
+        if not state.hasTimedOut:
+            rows = pd.concat([rows, *(b[["ms", "event_id", "value"]].astype({"event_id": "Int64"}) for b in batches)])
+        rows = rows.sort_values(["ms", "event_id"], kind="stable", ignore_index=True)
+        due = rows["ms"] < watermark if hold else rows["ms"].notna()
+        waiting, rows = rows[~due], rows[due]
+        # a gap between two events closes the case before the later one, whichever batch they come in
+        idle_before = (rows["ms"] - rows["ms"].shift(fill_value=last_ms if n else 0)) > idle_ms if hold else None
+        if len(rows):
+            numbers = n + pd.RangeIndex(1, len(rows) + 1).to_numpy()
+            sums = so_far + rows["value"].cumsum().to_numpy()
+            scores = sums / (scale * numbers)
+            table = pd.DataFrame({"case_id": name, "kind": PREFIX, "event_nr": numbers.astype("int32"),
+                                  "event_id": rows["event_id"].to_numpy(), "so_far": sums, "score": scores})
+            if want_prefix:
+                yield table
             hits = (scores >= confidence).nonzero()[0]
-            if len(hits):
+            gaps = [int(g) for g in idle_before.to_numpy().nonzero()[0] if n or g] if hold else []
+            first_hit = int(hits[0]) if len(hits) else len(rows)
+            if gaps and not alerted and not closed and gaps[0] <= first_hit:
+                closed = True
+                at = n + gaps[0]
+                total = float(sums[gaps[0] - 1]) if gaps[0] else so_far
+                if want_closed:
+                    yield closing(name, at, total)
+            if not alerted and not closed and len(hits):
                 alerted = True
                 if want_alert:
-                    yield table.iloc[[hits[0]]].assign(kind=ALERT)
-        last_ms = max(int(last_ms), int(rows["ms"].max()))
-        state.update((int(numbers[-1]), float(sums[-1]), bool(alerted), last_ms))
-        state.setTimeoutTimestamp(max(last_ms + idle_ms, state.getCurrentWatermarkMs() + 1))
+                    yield table.iloc[[first_hit]].assign(kind=ALERT)
+            n, so_far, last_ms = int(numbers[-1]), float(sums[-1]), max(int(last_ms), int(rows["ms"].max()))
+        if n and not len(waiting) and not closed and watermark >= last_ms + idle_ms and state.hasTimedOut:
+            closed = True
+            if want_closed and not alerted:
+                yield closing(name, n, so_far)
+        ids = [None if pd.isna(i) else int(i) for i in waiting["event_id"]]
+        state.update((int(n), float(so_far), bool(alerted), bool(closed), int(last_ms),
+                      waiting["ms"].astype(int).tolist(), ids, waiting["value"].astype(float).tolist()))
+        if len(waiting):
+            state.setTimeoutTimestamp(max(int(waiting["ms"].min()), watermark) + 1)
+        elif not closed:
+            state.setTimeoutTimestamp(max(last_ms + idle_ms, watermark + 1))
+
+    def closing(name, n, so_far) -> pd.DataFrame:
+        return pd.DataFrame({"case_id": [name], "kind": [CLOSED], "event_nr": [n], "event_id": [None],
+                             "so_far": [so_far], "score": [so_far / (scale * n)]}).astype({"event_id": "Int64"})
 
     slim = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay).select(
         F.col(case).cast("string").alias("case_id"), "_ts", F.unix_millis("_ts").alias("ms"),

@@ -33,3 +33,46 @@ def test_batches_in_time_order(spark, sf_dir, tmp_path):
     fired = monitor.alerts(monitor.decisions(scores, "case_id", "event_nr", [0.6]))
     assert {(r["case_id"], r["event_nr"]) for r in got.filter("kind = 'alert'").collect()} == {
         (r["case_id"], r["nr_events"]) for r in fired.collect()}
+
+
+def watched(spark, tmp_path, batches, **options):
+    """Rows of (case_id, second, event_id, value), one micro-batch per list; (case, kind, number, event, sum) of the answer."""
+    source = tmp_path / "in"
+    for part in batches:
+        rows = spark.createDataFrame(part, "case_id string, s long, event_id long, value double").withColumn("ts", F.timestamp_seconds("s"))
+        rows.coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(spark.read.parquet(str(source)).schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    out = cases.watch_cases(stream, "case_id", "ts", "event_id", "value", 10.0, 0.8, emit=(cases.PREFIX, cases.ALERT, cases.CLOSED), **options)
+    cases.run_available(out, str(tmp_path / "out"), str(tmp_path / "progress"))
+    got = spark.read.schema(cases.OUTPUT).parquet(str(tmp_path / "out"))
+    return sorted((r["case_id"], r["kind"], r["event_nr"], r["event_id"] or 0, r["so_far"]) for r in got.collect())
+
+
+DAY = 24 * 3600
+
+
+def test_a_closed_case_keeps_its_mark(spark, tmp_path):
+    batches = [[("a", 1000, 1, 1.0)], [("z", 1000 + 3 * DAY, 2, 1.0)], [("z", 1010 + 3 * DAY, 3, 1.0)],
+               [("a", 1020 + 3 * DAY, 4, 90.0)], [("z", 1030 + 3 * DAY, 5, 1.0)]]
+    got = [r for r in watched(spark, tmp_path, batches) if r[0] == "a"]
+    assert got == [("a", "closed", 1, 0, 1.0), ("a", "prefix", 1, 1, 1.0), ("a", "prefix", 2, 4, 91.0)]
+
+
+def test_an_alerted_case_alerts_once_after_a_gap(spark, tmp_path):
+    batches = [[("a", 1000, 1, 9.0)], [("z", 1000 + 3 * DAY, 2, 1.0)], [("z", 1010 + 3 * DAY, 3, 1.0)], [("a", 1020 + 3 * DAY, 4, 9.0)]]
+    got = [r for r in watched(spark, tmp_path, batches) if r[0] == "a"]
+    assert got == [("a", "alert", 1, 1, 9.0), ("a", "prefix", 1, 1, 9.0), ("a", "prefix", 2, 4, 18.0)]
+
+
+def test_held_events_are_numbered_in_time_order(spark, tmp_path):
+    batches = [[("a", 3000, 3, 1.0), ("b", 2000, 6, 1.0)], [("a", 1000, 1, 9.0), ("b", 2100, 7, 9.0)], [("a", 2000, 2, 1.0)],
+               [("z", 5 * DAY, 9, 1.0)], [("z", 5 * DAY + 10, 10, 1.0)]]
+    got = [r for r in watched(spark, tmp_path, batches, hold=True) if r[0] != "z"]
+    assert got == [("a", "alert", 1, 1, 9.0), ("a", "prefix", 1, 1, 9.0), ("a", "prefix", 2, 2, 10.0), ("a", "prefix", 3, 3, 11.0),
+                   ("b", "closed", 2, 0, 10.0), ("b", "prefix", 1, 6, 1.0), ("b", "prefix", 2, 7, 10.0)]
+
+
+def test_a_gap_closes_a_held_case_before_the_later_event(spark, tmp_path):
+    batches = [[("a", 3 * DAY, 2, 90.0), ("a", 3 * DAY - 100, 1, 1.0)], [("a", 5 * DAY, 3, 9.0)], [("z", 9 * DAY, 9, 1.0)], [("z", 9 * DAY + 10, 10, 1.0)]]
+    got = [r for r in watched(spark, tmp_path, [[("a", DAY, 8, 1.0)], *batches], hold=True) if r[0] == "a"]
+    assert got == [("a", "closed", 1, 0, 1.0), ("a", "prefix", 1, 8, 1.0), ("a", "prefix", 2, 1, 2.0), ("a", "prefix", 3, 2, 92.0), ("a", "prefix", 4, 3, 101.0)]
