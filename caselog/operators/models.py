@@ -23,7 +23,7 @@ from caselog.functions import text as T
 from caselog.functions.scalars import sparse_vector
 from caselog.operators import encode, features, text
 from caselog.operators.clean import ordinal_table
-from caselog.operators.events import first_known
+from caselog.operators.events import first_known, with_case_value
 from caselog.operators.ranks import lookup_skewed
 from caselog.operators.split import oversample
 from caselog.session import durable
@@ -110,6 +110,8 @@ def prepare(log: DataFrame, spec: LogSpec, k_max: int, codes: dict[str, DataFram
     cases = log.groupBy(spec.case).agg(first_known(spec.label, spec.nr).alias(spec.label), F.max(spec.nr).cast("int").alias(spec.length))
     if keep:
         cells, cases = durable(cells), durable(cases)
+    if spec.text_col and spec.length not in log.columns:
+        log = with_case_value(log, spec.case, cases.select(spec.case, spec.length))
     return PreparedLog(cells, cases, log, k_max)
 
 
@@ -420,6 +422,10 @@ class OutcomeModel:
     def fit_prepared(self, data: PreparedLog, codes: dict[str, DataFrame]) -> "OutcomeModel":
         spec = self.spec
         start = time.time()
+        if prefix_cases(data, spec, self.nr_events).isEmpty():  # nothing to learn: every later score is an empty table
+            self.vectorizer, self.classifier, self.classes = PrefixVectorizerModel(spec, self.nr_events, [], None, codes), None, []
+            self.timings.update(train_preproc_time=time.time() - start, train_cls_time=0.0)
+            return self
         estimator = PrefixVectorizer(spec, self.nr_events, self.text_method, self.text_options)
         self.vectorizer = estimator.fit_prepared(data, codes)
         train = self.vectorizer.transform_prepared(data)
@@ -427,8 +433,6 @@ class OutcomeModel:
             train = oversample(train, spec.case, spec.label, spec.minority_label, spec.seed)
         weights = features.small_table(features.class_weights(train, spec.label), 100)
         self.classes = sorted(r[spec.label] for r in weights)
-        if not self.classes:
-            raise ValueError(f"no training case reaches prefix {self.nr_events}")
         index = F.create_map(*[F.lit(x) for i, y in enumerate(self.classes) for x in (y, float(i))])
         weight = F.create_map(*[F.lit(x) for r in weights for x in (r[spec.label], float(r["weight"]))])
         train = durable(train.withColumn("label_index", index[F.col(spec.label)]).withColumn("weight", weight[F.col(spec.label)]))
@@ -446,6 +450,9 @@ class OutcomeModel:
         if self.vectorizer is None:
             raise ValueError("fit before scoring")
         spec = self.spec
+        if not self.classes:
+            rows = prefix_cases(data, spec, self.nr_events).filter(F.lit(False))
+            return rows.select(spec.case, spec.label, spec.length, F.lit(self.nr_events).alias("nr_events"), F.array().cast("array<double>").alias("p"))
         rows = self.vectorizer.transform_prepared(data)
         if self.classifier is None:
             scored = rows.withColumn("p", F.array(F.lit(1.0)))
@@ -459,8 +466,11 @@ class OutcomeModel:
     def predict(self, log: DataFrame) -> DataFrame:
         """predict_proba with ``prediction``: the class of the largest probability."""
         best = F.array_position("p", F.array_max("p"))
+        scored = self.predict_proba(log)
+        if not self.classes:
+            return scored.withColumn("prediction", F.col(self.spec.label))  # no rows
         names = F.array(*[F.lit(y) for y in self.classes])
-        return self.predict_proba(log).withColumn("prediction", F.element_at(names, best.cast("int")))
+        return scored.withColumn("prediction", F.element_at(names, best.cast("int")))
 
 
 def p_of(classes: list, y):

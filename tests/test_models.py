@@ -65,6 +65,21 @@ def test_one_class_only(log):
     assert {tuple(r["p"]) for r in model.predict_proba(only).collect()} == {(1.0,)}
 
 
+def test_no_training_case_gives_empty_scores(log):
+    model = OutcomeModel(9, SPEC, "rf", {}, "bong", {"nr_selected": 3}).fit(log)
+    assert model.classes == [] and model.predict_proba(log).count() == model.predict(log).count() == 0
+    assert OutcomeModel(1, SPEC).fit(log.filter("case_id < 0")).predict(log).dtypes == OutcomeModel(1, SPEC).fit(log.filter("label = 1")).predict(log).dtypes
+
+
+def test_texts_need_no_case_length(log):
+    spec = LogSpec(event_col="act", text_col="note")
+    options = ("logit", {}, "bong", {"nr_selected": 3})
+    bare = log.drop("case_length")
+    got = {(r["case_id"], r["case_length"]) for r in OutcomeModel(2, spec, *options).fit(bare).predict(bare).collect()}
+    assert got == {(r["case_id"], r["case_length"]) for r in log.select("case_id", "case_length").distinct().collect()}
+    assert any(n.startswith("note=") for n in OutcomeModel(2, spec, *options).fit(bare).vectorizer.names)
+
+
 def test_scaler_uses_the_population_deviation(spark):
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
