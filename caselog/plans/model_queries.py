@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caselog.operators import experiments as X
-from caselog.operators import metrics, monitor, split
+from caselog.operators import metrics, monitor, split, tune
 from caselog.operators.models import LogSpec, OutcomeModel, TopicModel, WordVectors, p_of
 from caselog.plans.logs import all_documents, order_log
 from caselog.plans.registry import query
@@ -76,20 +76,20 @@ def document_vectors(spark, sf):
 @query("prefix_scores", "MN-1 MN-2")
 def prefix_scores(spark, sf):
     train, test = sides(spark, sf)
-    return X.CaseMonitor(SPEC, cls_options=FOREST).train(train, 3).score(test).withColumn("score", F.round("score", 6)).drop("p_0", "p_1")
+    return X.CaseMonitor(SPEC, cls_options=FOREST).train(train).score(test).withColumn("score", F.round("score", 6)).drop("p_0", "p_1")
 
 
 @query("monitored_alerts", "MN-3 MN-5 MN-7 UD-5")
 def monitored_alerts(spark, sf):
     train, test = sides(spark, sf)
-    fired, _ = X.CaseMonitor(SPEC, cls_options=FOREST).train(train, 3).test(test, monitor.CONFIDENCES[:4], evaluate=False)
+    fired, _ = X.CaseMonitor(SPEC, cls_options=FOREST).train(train).test(test, monitor.CONFIDENCES, evaluate=False)
     return fired
 
 
 @query("monitored_metrics", "MN-7 ME-12 UD-5")
 def monitored_metrics(spark, sf):
     train, test = sides(spark, sf)
-    _, m = X.CaseMonitor(SPEC, cls_options=FOREST).train(train, 3).test(test, monitor.CONFIDENCES[:4], two_sided=True)
+    _, m = X.CaseMonitor(SPEC, cls_options=FOREST).train(train).test(test, monitor.CONFIDENCES, two_sided=True)
     return m
 
 
@@ -99,24 +99,31 @@ def out_of_fold_predictions(spark, sf):
     return X.out_of_fold(log, SPEC, 1, 3, "rf", FOREST).select("case_id", "label", "prediction", "fold")
 
 
+def forest_setting(depth):
+    return {"cls_method": "rf", "cls_options": {**FOREST, "max_depth": int(depth)}, "params": {"depth": str(depth)}}
+
+
+def folded_metrics(log):
+    """Metrics of every setting and level over five folds of ``log``, at all prefixes."""
+    return X.cross_validate(log, SPEC, [forest_setting(d) for d in (3, 5)], monitor.CONFIDENCES, folds=5)
+
+
 @query("cross_validated_metrics", "TU-2")
 def cross_validated_metrics(spark, sf):
-    log = durable(order_log(spark, sf))
-    settings = [{"cls_method": "rf", "cls_options": {**FOREST, "max_depth": d}, "params": {"depth": str(d)}} for d in (3, 5)]
-    return X.cross_validate(log, SPEC, settings, [0.5, 0.6], folds=3, max_events=2)
+    return folded_metrics(durable(order_log(spark, sf)))
 
 
 @query("final_metrics", "TU-4 JN-6")
 def final_metrics(spark, sf):
     train, test = sides(spark, sf)
-    best = spark.createDataFrame([(0.5, "rf", 3), (0.6, "rf", 5)], "confidence double, cls string, depth int")
-    return X.final_run(train, test, SPEC, best, lambda r: {"cls_method": r["cls"], "cls_options": {**FOREST, "max_depth": r["depth"]}}, max_events=2)
+    best = tune.best_parameters(tune.fold_means(durable(folded_metrics(train))), ["depth"])
+    return X.final_run(train, test, SPEC, best, lambda r: {k: v for k, v in forest_setting(r["depth"]).items() if k != "params"})
 
 
 @query("timed_prefixes", "TU-7 IO-6")
 def timed_prefixes(spark, sf):
     train, test = sides(spark, sf)
-    return X.timed_runs(train, test, SPEC, iterations=2, max_events=2, cls_options=FOREST).select("iteration", "nr_events", "nr_test_cases")
+    return X.timed_runs(train, test, SPEC, iterations=2, cls_options=FOREST).select("iteration", "nr_events", "nr_test_cases")
 
 
 @query("model_coverage", "ME-11 MO-10")
