@@ -1,11 +1,12 @@
-"""Personal data by patterns, and the words around it that would give it away.
+"""Personal data by patterns, and the words beside it that would give it away.
 
 Patterns find emails, addresses of machines, card and phone numbers. These are the protected entities. The corpus then
 tells how much a word discloses of an entity: with n(e), n(t) and n(t, e) the documents that hold the entity, the word,
-and the word near the entity, out of N, the entity's information is IC = log2(N / n(e)) and what the word reveals of it
-PMI = log2(N n(t, e) / (n(t) n(e))). A word near the entity that reveals a share PMI / IC of at least ``generalise`` is
-generalised there, from ``remove`` on it is removed. A pair must recur in ``support`` documents: what happened once
-is no evidence.
+and both, out of N, the entity's information is IC = log2(N / n(e)) and what the word reveals of it
+PMI = log2(N n(t, e) / (n(t) n(e))). A word that reveals a share PMI / IC of at least ``generalise`` is generalised at
+all its places in the documents that hold the entity, from ``remove`` on it is removed there. A value held by fewer than
+``support`` documents cannot be estimated and is judged as its kind: n(e) are then the documents with any entity of that
+kind. A pair must recur in ``support`` documents: what happened once is no evidence.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\W_]{2,}")
 
-CONTEXT = 8
 SUPPORT = 2
 GENERALISE = 0.8
 REMOVE = 0.95
@@ -87,35 +87,55 @@ def _hash(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value) - (1 << 63)
 
 
-def near_words(text: str, spans: list[tuple[int, int, int, str]], context: int) -> list[dict]:
-    """Words within ``context`` words of an entity: hashes of entity and word, and the word's place. Words that touch a span are left out."""
-    out = []
-    for start, kind, end, value in spans:
-        e = _hash(f"{KINDS[kind]} {value}")
-        reach = 64 * context  # far enough for any words but monsters; those beyond are not near
-        before = list(WORD.finditer(text, max(0, start - reach), start))[-context:]
-        after = list(WORD.finditer(text, end, min(len(text), end + reach)))[:context]
-        for m in before + after:
-            if not any(a < m.end() and m.start() < b for a, _, b, _ in spans):
-                out.append({"e": e, "t": _hash(m[0].lower()), "start": m.start(), "end": m.end()})
+def _unit(kind: int, value: str | None = None) -> int:
+    """What is estimated: an entity value, or a kind as a whole."""
+    return _hash(KINDS[kind] if value is None else f"{KINDS[kind]} {value}")
+
+
+def free_words(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
+    """Places of the words of ``text`` that touch no span."""
+    out, upto, at = [], 0, 0  # ``upto``: the furthest end of the spans that begin before the word's end
+    for m in WORD.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            upto = max(upto, spans[at][2])
+            at += 1
+        if upto <= m.start():
+            out.append(m.span())
     return out
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_NEAR = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+_ENTITY = pa.list_(pa.struct([("e", pa.int64()), ("k", pa.int64())]))
+_SPANS_TYPE = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _found(context: int):
-    def run(batches: Batches) -> Batches:
-        for batch in sliced(batches, 2):
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            spans = [base_spans(t) for t in texts]
-            near = [near_words(t, s, context) if s else [] for t, s in zip(texts, spans)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array([[{"start": a, "kind": k, "end": b} for a, k, b, _ in s] for s in spans], _SPAN),
-                 pa.array([sorted({_hash(f"{KINDS[k]} {v}") for _, k, _, v in s}) for s in spans], pa.list_(pa.int64())), pa.array(near, _NEAR)],
-                names=["id", "h", "base", "entities", "near"])
-    return run
+def _found(batches: Batches) -> Batches:
+    """Spans of each text; for texts with any also their entities, and hash, start and end of each free word."""
+    cache = Cache(lambda words: [_hash(w) for w in words])
+    for batch in sliced(batches, 2):
+        texts = [t or "" for t in batch.column(2).to_pylist()]
+        spans = [base_spans(t) for t in texts]
+        places = [free_words(t, s) if s else [] for t, s in zip(texts, spans)]
+        words = cache.rows([[t[a:b].lower() for a, b in own] for t, own in zip(texts, places)])
+        entities = [sorted({(_unit(k, v), _unit(k)) for _, k, _, v in s}) for s in spans]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:2], pa.array([[{"start": a, "kind": k, "end": b} for a, k, b, _ in s] for s in spans], _SPAN),
+             pa.array([[{"e": e, "k": k} for e, k in own] for own in entities], _ENTITY), pa.array(words, pa.list_(pa.int64())),
+             pa.array([[a for a, _ in own] for own in places], pa.list_(pa.int32())), pa.array([[b for _, b in own] for own in places], pa.list_(pa.int32()))],
+            names=["id", "h", "base", "entities", "words", "starts", "ends"])
+
+
+def _marked(batches: Batches) -> Batches:
+    """(id, base, spans): the base spans and every place of the words in ``told``."""
+    for batch in batches:
+        rows = batch.select(["base", "words", "starts", "ends", "told"]).to_pylist()
+        spans = []
+        for r in rows:
+            told = {x["t"]: x["kind"] for x in r["told"] or []}
+            more = [(a, told[t], b) for t, a, b in zip(r["words"], r["starts"], r["ends"]) if t in told] if told else []
+            own = sorted([(x["start"], x["kind"], x["end"]) for x in r["base"]] + more)
+            spans.append([{"start": a, "kind": k, "end": b} for a, k, b in own])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("base"), pa.array(spans, _SPAN)], names=["id", "base", "spans"])
 
 
 def _word_counts(batches: Batches) -> Batches:
@@ -151,21 +171,41 @@ def _word_counts(batches: Batches) -> Batches:
         yield from out(merged())
 
 
-def disclosures(found: DataFrame, docs: DataFrame, text_col: str, support: int, generalise: float) -> DataFrame:
-    """(e, t, share): words near an entity that reveal at least the share ``generalise`` of its information."""
+def held_units(found: DataFrame, support: int) -> DataFrame:
+    """(d, copies, terms, values, kinds, asked) of the documents with an entity.
+
+    ``values`` are its values of at least ``support`` documents, ``kinds`` the kinds of all its values; ``asked`` are
+    those of them whose words are marked: ``values``, and the kinds of its values that are too rare.
+    """
+    held = found.filter(F.size("entities") > 0).groupBy(F.struct("id", "h").alias("d")).agg(
+        F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.array_distinct(F.first("words")).alias("terms"))
+    each = held.select("d", "copies", F.inline("entities"))
+    known = each.groupBy("e").agg(F.sum("copies").alias("n")).filter(F.col("n") >= support).select("e", F.lit(True).alias("known"))
+    units = each.join(known, "e", "left").groupBy("d").agg(
+        F.collect_set(F.when(F.col("known"), F.col("e"))).alias("values"), F.collect_set("k").alias("kinds"),
+        F.collect_set(F.when(F.col("known"), F.col("e")).otherwise(F.col("k"))).alias("asked"))
+    return held.drop("entities").join(units, "d")
+
+
+def disclosures(held: DataFrame, docs: DataFrame, text_col: str, support: int, generalise: float, space: Workspace) -> DataFrame:
+    """(u, t, share): words that reveal at least the share ``generalise`` of the information of a value or a kind."""
     total = F.broadcast(docs.agg(F.count(F.lit(1)).alias("N")))  # one row
-    n_e = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
-    near = found.select("id", "h", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["e"].alias("e"), x["t"].alias("t"))))).alias("p"))
-    n_te = near.groupBy(F.col("p.e").alias("e"), F.col("p.t").alias("t")).agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= support)
+    units = held.select("copies", "terms", F.explode(F.concat("values", "kinds")).alias("u"))
+    n_e = space.table(units.groupBy("u").agg(F.sum("copies").alias("n_e")), "units")
+    both = units.select("copies", "u", F.explode("terms").alias("t")).groupBy("u", "t").agg(F.sum("copies").alias("n_te")).filter(F.col("n_te") >= support)
+    both = space.table(both, "pairs")
+    kinds = F.col("u").isin([_unit(k) for k in range(4)])
+    # a kind has as many rows as the corpus has words: its count is broadcast, four rows
+    n_te = both.filter(~kinds).join(n_e, "u").unionByName(both.filter(kinds).join(F.broadcast(n_e.filter(kinds)), "u"))
     n_t = docs.select(text_col).mapInArrow(_word_counts, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
-    pairs = n_te.join(n_e, "e").join(n_t, "t").crossJoin(total)
+    pairs = n_te.join(n_t, "t").crossJoin(total)
     ic = F.log2(F.col("N") / F.col("n_e"))
     pmi = F.log2(F.col("N").cast("double") * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
     share = F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))  # an entity in every document has nothing to reveal
-    return pairs.select("e", "t", share.alias("share")).filter(F.col("share") >= generalise)
+    return pairs.select("u", "t", share.alias("share")).filter(F.col("share") >= generalise)
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT, support: int = SUPPORT,
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT,
                        generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(id, base, spans) for each row of ``docs``: arrays of (start, kind, end), code points, end exclusive.
 
@@ -174,19 +214,19 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Other columns are ignored. Null ids are allowed.
     """
     key = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    schema = "id long, h long, base array<struct<start:int,kind:int,end:int>>, entities array<long>, near array<struct<e:long,t:long,start:int,end:int>>"
+    schema = f"id long, h long, base {_SPANS_TYPE}, entities array<struct<e:long,k:long>>, words array<long>, starts array<int>, ends array<int>"
     with Workspace(docs.sparkSession) as space:
-        found = space.table(key.mapInArrow(_found(context), schema), "found")
-        revealing = disclosures(found, docs, text_col, support, generalise)
-        places = found.select(F.struct("id", "h").alias("d"), F.explode("near").alias("p")).select("d", "p.*").distinct()
-        hits = places.join(revealing, ["e", "t"])
+        found = space.table(key.mapInArrow(_found, schema), "found")
+        held = space.table(held_units(found, support), "held")
+        revealing = space.table(disclosures(held, docs, text_col, support, generalise, space), "revealing")
         kind = F.when(F.col("share") >= remove, KINDS.index("remove")).otherwise(KINDS.index("general"))
-        # a word near several entities is removed if one of them asks for it
-        words = hits.groupBy("d", "start", "end").agg(F.max(kind).alias("kind"))
-        more = words.groupBy("d").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
-        whole = found.select("id", F.struct("id", "h").alias("key"), "base").join(more, F.col("key") == F.col("d"), "left")
-        spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
-        return durable(whole.select(F.col("id").alias(id_col), "base", spans.alias("spans")))
+        asked = held.select("d", "terms", F.explode("asked").alias("u")).select("d", "u", F.explode("terms").alias("t"))
+        # a word that reveals several entities is removed if one of them asks for it
+        words = asked.join(revealing, ["u", "t"]).groupBy("d", "t").agg(F.max(kind).alias("kind"))
+        told = words.groupBy("d").agg(F.collect_list(F.struct("t", "kind")).alias("told"))
+        whole = found.join(told, F.struct(found["id"], found["h"]) == told["d"], "left").select("id", "base", "words", "starts", "ends", "told")
+        spans = whole.mapInArrow(_marked, f"id long, base {_SPANS_TYPE}, spans {_SPANS_TYPE}")
+        return durable(spans.select(F.col("id").alias(id_col), "base", "spans"))
 
 
 def listing(spans: str) -> Column:
