@@ -176,6 +176,21 @@ def missing_and_extra_features(spark, sf):
     return features.column_differences(train, test).unionByName(size)
 
 
+@query("missing_and_extra_features_by_side", "ST-3", """
+with o as (select o_orderpriority || '_' || o_orderstatus as feature, cast('0x' || substr(md5(cast(o_orderkey as varchar) || '_22'), 1, 8) as bigint) / 4294967296.0 < 0.8 as is_train from orders),
+a as (select distinct feature from o where is_train), b as (select distinct feature from o where not is_train)
+select feature, 'missing' as kind from (select feature from a except select feature from b)
+union all select feature, 'extra' from (select feature from b except select feature from a)
+union all select cast(count(*) as varchar), 'train features' from a""")
+def missing_and_extra_features_by_side(spark, sf):
+    """As above over all orders, each on the training or the test side."""
+    sided = split.split_threshold(table(spark, sf, "orders").withColumn("feature", F.concat_ws("_", "o_orderpriority", "o_orderstatus")), "o_orderkey", 0.8)
+    train = sided.filter("is_train").select("feature").distinct()
+    test = sided.filter("not is_train").select("feature").distinct()
+    size = train.agg(F.count(F.lit(1)).cast("string").alias("feature")).withColumn("kind", F.lit("train features"))
+    return features.column_differences(train, test).unionByName(size)
+
+
 @query("standard_scaled", "MO-5", f"""
 with {LOG_SQL}, w as (select case_id, coalesce(max(case when event_nr = 1 then l_quantity end), 0) as q1, coalesce(max(case when event_nr = 2 then l_extendedprice end), 0) as p2
   from log where case_length >= 2 and event_nr <= 2 group by case_id), s as (select avg(q1) as mq, stddev_pop(q1) as sq, avg(p2) as mp, stddev_pop(p2) as sp from w)

@@ -66,6 +66,15 @@ def alerts_with_case_length(spark, sf):
         "confidence", "case_id", "nr_events", F.round(F.col("nr_events") / F.col("case_length"), 6).alias("part_seen"))
 
 
+@query("alerts_with_case_length_all_levels", "JN-5", f"""
+with {FIRED_SQL} select confidence, case_id, nr_events, round(nr_events / case_length::double, 6) as part_seen from decided where nr_events is not null""")
+def alerts_with_case_length_all_levels(spark, sf):
+    fired = monitor.alerts(monitor.decisions(order_scores(spark, sf), "case_id", "event_nr", monitor.CONFIDENCES, keep=["label"]))
+    lengths = order_log(spark, sf, parts=False).filter("event_nr = 1").select("case_id", "case_length")
+    return fired.join(lengths, "case_id").select(
+        "confidence", "case_id", "nr_events", F.round(F.col("nr_events") / F.col("case_length"), 6).alias("part_seen"))
+
+
 @query("two_sided_alerts", "MN-4", f"""
 with {SCORES_SQL}, {CONF_SQL}, p as (select *, least(score, 1.0) as p1 from scores),
 h as (select confidence, case_id, case_length, label, event_nr, 1 as prediction from p, confs where p1 >= confidence

@@ -1,11 +1,13 @@
-"""Queries that once stopped short: prefixes, levels, folds."""
+"""Queries that once stopped short: prefixes, levels, folds, price bands."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from caselog.operators import experiments as X
 from caselog.operators import monitor
+from caselog.plans import encode_queries
 from caselog.plans import model_queries as Q
+from caselog.plans.registry import load_all
 
 
 @pytest.fixture()
@@ -60,3 +62,18 @@ def test_equal_settings_are_trained_once(spark, sf_dir, monkeypatch):
     best = spark.createDataFrame([(0.5, "rf", 3), (0.6, "rf", 5), (0.7, "rf", 3)], "confidence double, cls string, depth int")
     out = X.final_run(None, None, Q.SPEC, best, lambda r: {"cls_options": {"max_depth": r["depth"]}})
     assert out.count() == 3 and [t["max_depth"] for t in trained] == [3, 5]
+
+
+def test_orders_of_every_price_are_on_a_side(spark, monkeypatch):
+    rows = [(k, "1-URGENT" if k < 900 else f"x{k}", "F", 5000.0) for k in range(1000)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string, o_orderstatus string, o_totalprice double")
+    monkeypatch.setattr(encode_queries, "table", lambda *_: orders)
+    got = load_all()["missing_and_extra_features_by_side"].build(spark, "").collect()
+    assert sorted(r["feature"] for r in got if r["kind"] != "train features") == sorted(f"x{k}_F" for k in range(900, 1000))
+    assert {r["kind"] for r in got} == {"missing", "extra", "train features"}
+
+
+def test_alerts_with_case_length_have_every_level(spark, sf_dir):
+    names = load_all()
+    levels = {n: {r["confidence"]: r["count"] for r in names[n].build(spark, sf_dir).groupBy("confidence").count().collect()} for n in ("alerts_with_case_length_all_levels", "first_crossings")}
+    assert levels["alerts_with_case_length_all_levels"] == levels["first_crossings"] and min(levels["first_crossings"]) == 0.5
