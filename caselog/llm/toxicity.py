@@ -172,11 +172,22 @@ def toxicity_score(model: ToxicModel, text_col: str = "text") -> Column:
     return score(F.col(text_col))
 
 
+def carrying(sentences: list[tuple[float, int, int]], threshold: float) -> list[tuple[float, int, int]]:
+    """The fewest (log-odds, start, end) without which the others stay below ``threshold`` under noisy-or, in text order; at least one."""
+    ranked = sorted(sentences, key=lambda s: (-s[0], s[1]))
+    rest = np.cumsum(_softplus(np.array([s[0] for s in ranked]))[::-1])[::-1]  # of each sentence and those after it
+    n = max(1, int((-np.expm1(-rest) >= threshold).sum()))
+    return sorted(ranked[:n], key=lambda s: s[1])
+
+
 SPANS = "array<struct<start:int,end:int,score:double>>"
 
 
 def judged(model: ToxicModel, text_col: str = "text", threshold: float = THRESHOLD) -> Column:
-    """Score of a whole text, and its sentences that reach ``threshold`` themselves: code point places (end exclusive) and score."""
+    """Score of a whole text, and the sentences that carry it to ``threshold``: code point places (end exclusive) and score.
+
+    Sentences are taken by descending score until the rest, under noisy-or, falls below ``threshold``.
+    """
 
     @F.pandas_udf(f"score double, sentences {SPANS}")
     def both(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -190,11 +201,10 @@ def judged(model: ToxicModel, text_col: str = "text", threshold: float = THRESHO
                     start = 0
                     for stop in [m.start() for m in re.finditer(r"[.!?\n]+", text)] + [len(text)]:
                         z = model.sentences(text[start:stop], cache)
-                        p = float(1 / (1 + np.exp(-z[0]))) if len(z) else 0.0
-                        if p >= threshold:
-                            found.append({"start": start, "end": stop, "score": p})
+                        if len(z):
+                            found.append((float(z[0]), start, stop))
                         start = stop
-                out.append(found)
+                out.append([{"start": a, "end": b, "score": float(1 / (1 + np.exp(-z)))} for z, a, b in carrying(found, threshold)])
             yield pd.DataFrame({"score": scores, "sentences": out})
 
     return both(F.col(text_col))

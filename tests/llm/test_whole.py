@@ -1,8 +1,9 @@
 """Corpus operators that once did less than the whole job."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from caselog.llm import pii
+from caselog.llm import pii, toxicity
 
 
 def spans_of(spark, rows):
@@ -42,3 +43,29 @@ def test_a_value_of_one_document_is_judged_as_its_kind(spark):
 def test_free_words_touch_no_span():
     text = "aa bb cc dd ee"
     assert pii.free_words(text, [(1, 0, 4, "x"), (3, 1, 5, "y"), (9, 2, 10, "z")]) == [(6, 8), (12, 14)]
+
+
+def weighed(**log_odds):
+    """A model in which each named word alone gives its sentence about these log-odds; other sentences have about none."""
+    weights = np.zeros(toxicity.SPACE, dtype=np.float32)
+    for word, z in log_odds.items():
+        own = toxicity.word_parts(word)
+        weights[own] += (z + 9) / len(own)
+    return toxicity.ToxicModel(weights, -9.0)
+
+
+def test_sentences_that_carry_a_document_together_are_listed(spark):
+    low = float(np.log(0.3 / 0.7))
+    model = weighed(qqqqqq=low, zzzzzz=3.0)
+    rows = [(1, "calm here. qqqqqq. calm there. qqqqqq"), (2, "calm. qqqqqq"), (3, "qqqqqq. zzzzzz. calm"), (4, "")]
+    got = {r["id"]: r["j"] for r in spark.createDataFrame(rows, "id int, text string").select("id", toxicity.judged(model).alias("j")).collect()}
+    text = dict(rows)
+    listed = {i: [text[i][s["start"] : s["end"]].strip(". ") for s in j["sentences"]] for i, j in got.items()}
+    assert abs(got[1]["score"] - 0.51) < 0.01 and listed == {1: ["qqqqqq"], 2: [], 3: ["zzzzzz"], 4: []}
+
+
+def test_every_toxic_document_has_sentences():
+    low = float(np.log(0.3 / 0.7))
+    assert toxicity.carrying([(low, 0, 1), (-9.0, 1, 2), (low, 2, 3)], 0.5) == [(low, 0, 1)]
+    assert toxicity.carrying([(low, 0, 1), (-9.0, 1, 2), (low, 2, 3), (low, 3, 4)], 0.5) == [(low, 0, 1), (low, 2, 3)]
+    assert toxicity.carrying([(2.0, 5, 6), (1.0, 0, 1), (-9.0, 1, 2)], 0.5) == [(1.0, 0, 1), (2.0, 5, 6)]
