@@ -24,7 +24,7 @@ from caselog.llm.arrow import Batches, Cache, list_array, list_rows, sliced
 from caselog.llm.labelled import training_rows
 
 SPACE = 1 << 18
-MOST_ROWS = 8_000
+MOST_ROWS = 12_000
 LEAST_ROWS_OF_PART = 5
 PASSES = 30
 RATE = 0.1

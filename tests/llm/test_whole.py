@@ -69,3 +69,9 @@ def test_every_toxic_document_has_sentences():
     assert toxicity.carrying([(low, 0, 1), (-9.0, 1, 2), (low, 2, 3)], 0.5) == [(low, 0, 1)]
     assert toxicity.carrying([(low, 0, 1), (-9.0, 1, 2), (low, 2, 3), (low, 3, 4)], 0.5) == [(low, 0, 1), (low, 2, 3)]
     assert toxicity.carrying([(2.0, 5, 6), (1.0, 0, 1), (-9.0, 1, 2)], 0.5) == [(1.0, 0, 1), (2.0, 5, 6)]
+
+
+def test_toxicity_learns_from_twelve_thousand_rows(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    known = docs.select("doc_id", F.lit(1).alias("toxic"))
+    assert 11_000 < toxicity.training_rows(docs, known, "toxic", "doc_id", "text", toxicity.MOST_ROWS).count() < 12_500
