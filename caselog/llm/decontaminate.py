@@ -12,11 +12,12 @@ from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caselog.llm.arrow import Batches, sliced
+from caselog.session import Workspace, durable
 
 CHARS_PER_EDIT = 20
 LEAST_CHARS = 20
@@ -68,6 +69,11 @@ class Pattern:
         return best, end
 
 
+def _border(text: str, at: int) -> bool:
+    """Whether no word runs across this place."""
+    return at in (0, len(text)) or not (text[at - 1].isalnum() and text[at].isalnum())
+
+
 @dataclass
 class Index:
     """An automaton over the pieces of a block of items."""
@@ -75,7 +81,7 @@ class Index:
     items: list[tuple[int, str]]
 
     def __post_init__(self):
-        self.short: dict[str, list[int]] = {}
+        self.short: list[tuple[list[int], str]] = []
         self.long: list[tuple[list[int], str]] = []
         by_text: dict[str, list[int]] = {}
         for item_id, text in self.items:
@@ -84,7 +90,8 @@ class Index:
         for text, ids in sorted(by_text.items()):
             if len(text) < LEAST_CHARS:
                 if text:
-                    self.short[text] = sorted(ids)
+                    at.setdefault(text, []).append((-1 - len(self.short), 0))  # negative: a short item, whole
+                    self.short.append((sorted(ids), text))
                 continue
             for offset, piece in pieces(text):
                 at.setdefault(piece, []).append((len(self.long), offset))
@@ -99,12 +106,19 @@ class Index:
     def find(self, text: str | None) -> list[dict]:
         """The best match of every item that leaks into a text, by item id; places in the plain text."""
         doc = plain(text)
-        found = [{"item_id": i, "start": 0, "end": len(doc), "edits": 0} for i in self.short.get(doc, ())]
-        if not self.long or not doc:
+        found: list[dict] = []
+        if not doc or not len(self.automaton):
             return found
+        met: set[int] = set()
         stretches: dict[int, list[list[int]]] = {}
         for last, (size, places) in self.automaton.iter(doc):
             for number, offset in places:
+                if number < 0:
+                    a, b = last - size + 1, last + 1
+                    if number not in met and _border(doc, a) and _border(doc, b):
+                        met.add(number)
+                        found += [{"item_id": i, "start": a, "end": b, "edits": 0} for i in self.short[-1 - number][0]]
+                    continue
                 m = len(self.long[number][1])
                 start = last - size + 1 - offset
                 k = budget(m)
@@ -125,39 +139,55 @@ class Index:
         return sorted(found, key=lambda m: (m["item_id"], m["start"]))
 
 
-def _matches(items: list[tuple[int, str]], at: int, out: str):
+def _matches(items: list[tuple[int, str]], at: int):
+    """The rows with what leaks into the text at column ``at``."""
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
 
     def run(batches: Batches) -> Batches:
         index = Index(items)
         for batch in sliced(batches, at):
             found = pa.array([index.find(t) for t in batch.column(at).to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "leaks"])
 
     return run
 
 
+def _key(text: str) -> Column:
+    """A text as two 64-bit hashes."""
+    return F.struct(F.xxhash64(text).alias("x"), F.xxhash64(text, F.lit(1)).alias("y"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
                block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with ``leaks``: the benchmark items found in each whole text, with place and edits.
 
-    Items shorter than 20 plain characters match a document only as its whole plain text; empty and null items match
-    nothing; items of equal text are all reported. Null and empty texts have no leaks, repeated rows are answered row by
+    Items shorter than 20 plain characters match exactly, at their first place between word borders; empty and null items
+    match nothing; items of equal text are all reported. Null and empty texts have no leaks, repeated rows are answered row by
     row, other columns pass through and ``leaks`` replaces one of that name. Places are in the plain text, end exclusive;
     the start is the end less the item's length.
 
-    A block of items (about ``block_bytes``, by hash of the item) travels to the tasks with the code; a larger benchmark
-    takes one pass over the documents for each block.
+    A block of items (about ``block_bytes``, by hash of the item) travels to the tasks with the code. A larger benchmark
+    takes one pass over the documents for each block, whose hits are written before the next block is collected; driver
+    and tasks hold one block at a time.
     """
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).filter("item is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     given = docs.drop("leaks")
-    out = given
-    for b in range(blocks):
-        block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
+
+    def matched(rows: DataFrame, block: DataFrame) -> DataFrame:
         held = sorted((r["item"], r["text"]) for r in block.collect())  # one block, bounded by block_bytes
-        schema = T.StructType([*out.schema.fields, T.StructField(f"_leaks_{b}", LEAKS)])
-        out = out.mapInArrow(_matches(held, given.columns.index(text_col), f"_leaks_{b}"), schema)
-    leaks = F.array_sort(F.concat(*[f"_leaks_{b}" for b in range(blocks)]))
-    return out.select(*given.columns, leaks.alias("leaks"))
+        return rows.mapInArrow(_matches(held, rows.columns.index(text_col)), T.StructType([*rows.schema.fields, T.StructField("leaks", LEAKS)]))
+
+    if blocks == 1:
+        return matched(given, items).withColumn("leaks", F.array_sort("leaks"))
+    texts = given.select(text_col)
+    with Workspace(docs.sparkSession) as space:
+        hits = None
+        for b in range(blocks):
+            block = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
+            found = space.table(matched(texts, block).filter(F.size("leaks") > 0).select(_key(text_col).alias("k"), F.explode("leaks").alias("m")).distinct(), f"hits{b}")
+            hits = found if hits is None else hits.union(found)
+        leaking = durable(hits.groupBy("k").agg(F.array_sort(F.collect_list("m")).alias("_leaks")).withColumnRenamed("k", "_leak_key"))
+    out = given.withColumn("_text_key", _key(text_col)).join(leaking, F.col("_text_key") == F.col("_leak_key"), "left")
+    return out.select(*given.columns, F.coalesce("_leaks", F.array().cast(LEAKS)).alias("leaks"))

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from caselog.llm import pii, toxicity
+from caselog.llm import decontaminate, pii, toxicity
 
 
 def spans_of(spark, rows):
@@ -75,3 +75,23 @@ def test_toxicity_learns_from_twelve_thousand_rows(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
     known = docs.select("doc_id", F.lit(1).alias("toxic"))
     assert 11_000 < toxicity.training_rows(docs, known, "toxic", "doc_id", "text", toxicity.MOST_ROWS).count() < 12_500
+
+
+def test_short_items_are_found_between_word_borders():
+    index = decontaminate.Index([(1, "Two words"), (2, "two"), (3, "wo"), (4, "?!"), (5, "two words and a good many more of them")])
+    got = {t: [(m["item_id"], m["start"], m["end"]) for m in index.find(t)] for t in ("here are  TWO words, two words", "twofold words", "why?!so", "")}
+    assert got == {"here are  TWO words, two words": [(1, 9, 18), (2, 9, 12)], "twofold words": [], "why?!so": [(4, 3, 5)], "": []}
+
+
+def test_one_block_of_the_benchmark_is_held_at_a_time(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, f"the question number {i} asks for much more than a few words {i}") for i in range(20)], "item_id long, text string")
+    rows = [(i % 30, f"so the question number {i % 30} asks for much more than a few words {i % 30} ok" if i % 3 else None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = sorted((r["doc_id"], r["text"] or "", r["leaks"]) for r in decontaminate.find_leaks(docs, bench).collect())
+    held, written, made, table = [], [], decontaminate._matches, decontaminate.Workspace.table
+    monkeypatch.setattr(decontaminate, "_matches", lambda items, *at: (held.append((len(items), len(written))), made(items, *at))[1])
+    monkeypatch.setattr(decontaminate.Workspace, "table", lambda space, df, name: (written.append(name), table(space, df, name))[1])
+    blocked = sorted((r["doc_id"], r["text"] or "", r["leaks"]) for r in decontaminate.find_leaks(docs, bench, block_bytes=400).collect())
+    assert blocked == whole and len(whole) == 60 and any(leaks for *_, leaks in whole)
+    # every block's hits are written before the next block is collected
+    assert len(held) > 2 and [n for _, n in held] == list(range(len(held))) and sum(n for n, _ in held) == 20
