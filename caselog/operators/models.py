@@ -453,7 +453,11 @@ class OutcomeModel:
         if not self.classes:
             rows = prefix_cases(data, spec, self.nr_events).filter(F.lit(False))
             return rows.select(spec.case, spec.label, spec.length, F.lit(self.nr_events).alias("nr_events"), F.array().cast("array<double>").alias("p"))
-        rows = self.vectorizer.transform_prepared(data)
+        return self.score_vectors(self.vectorizer.transform_prepared(data))
+
+    def score_vectors(self, rows: DataFrame) -> DataFrame:
+        """``score_prepared`` from the vectors of ``vectorizer.transform_prepared``, for a model with classes."""
+        spec = self.spec
         if self.classifier is None:
             scored = rows.withColumn("p", F.array(F.lit(1.0)))
         else:

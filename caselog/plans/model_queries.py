@@ -123,7 +123,7 @@ def final_metrics(spark, sf):
 @query("timed_prefixes", "TU-7 IO-6")
 def timed_prefixes(spark, sf):
     train, test = sides(spark, sf)
-    return X.timed_runs(train, test, SPEC, iterations=2, cls_options=FOREST).select("iteration", "nr_events", "nr_test_cases")
+    return X.timed_runs(train, test, SPEC, iterations=10, cls_options=FOREST)
 
 
 @query("model_coverage", "ME-11 MO-10")

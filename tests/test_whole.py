@@ -77,3 +77,19 @@ def test_alerts_with_case_length_have_every_level(spark, sf_dir):
     names = load_all()
     levels = {n: {r["confidence"]: r["count"] for r in names[n].build(spark, sf_dir).groupBy("confidence").count().collect()} for n in ("alerts_with_case_length_all_levels", "first_crossings")}
     assert levels["alerts_with_case_length_all_levels"] == levels["first_crossings"] and min(levels["first_crossings"]) == 0.5
+
+
+def test_each_prefix_has_its_own_times(spark, sf_dir, small_forest, monkeypatch):
+    monkeypatch.setattr(X.CaseMonitor, "train", lambda m, log, max_events=None, whole=X.CaseMonitor.train: whole(m, log, 2))
+    train, test = Q.sides(spark, sf_dir)
+    m = X.CaseMonitor(Q.SPEC, cls_options=Q.FOREST).train(train)
+    key = lambda df: sorted((r["case_id"], r["nr_events"], round(r["score"], 9)) for r in df.collect())
+    assert key(m.timed_score(test)) == key(m.score(test))
+    asked = []
+    monkeypatch.setattr(X, "timed_runs", lambda *a, whole=X.timed_runs, iterations, **o: (asked.append((iterations, o.get("max_events"))), whole(*a, iterations=2, **o))[1])
+    got = Q.timed_prefixes(spark, sf_dir).collect()
+    times = ["train_preproc_time", "train_cls_time", "test_encode_time", "test_preproc_time", "test_time"]
+    assert asked == [(10, None)] and sorted((r["iteration"], r["nr_events"]) for r in got) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+    assert all(r[t] > 0 for r in got for t in times)
+    # not one total shared out by case counts
+    assert len({round(r["test_time"] / r["nr_test_cases"], 12) for r in got}) == 4
