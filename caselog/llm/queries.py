@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselog.llm import (decontaminate, labelled, line_dedup, near_dedup, pieces, pii, quality_classifier, quality_rules, sharding,
-                         token_output, toxicity)
+from caselog.llm import (conversations, decontaminate, exact_dedup, labelled, line_dedup, near_dedup, pieces, pii, quality_classifier, quality_rules,
+                         sharding, token_output, toxicity, whitening)
 from caselog.session import durable, remove_folder, shared_root
 
 SHARDS = 24
@@ -131,6 +131,26 @@ def nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", labelled.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+EXACT_SQL = """
+select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
+  row_number() over (partition by coalesce(text, '') order by doc_id desc nulls last) = 1 as kept, sha256(coalesce(text, '')) as text_sha256
+from documents window w as (partition by coalesce(text, ''))"""
+
+
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repair_report(rows, conversations.damage(rows))
+
+
+def block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(_table(spark, sf_dir, "embeddings")))
+
+
 #: name -> (build, SQL or None)
 ENTRIES = {
     "op1_kd_sharding": (kd_sharding, None),
@@ -143,4 +163,7 @@ ENTRIES = {
     "op8_disclosing_terms": (disclosing_terms, None),
     "op9_noisy_or_toxicity": (noisy_or_toxicity, None),
     "op10_nb_svm_quality": (nb_svm_quality, None),
+    "op11_bloom_exact_dedup": (bloom_exact_dedup, EXACT_SQL),
+    "op12_conversation_repair": (conversation_repair, None),
+    "op13_block_whitening": (block_whitening, None),
 }
