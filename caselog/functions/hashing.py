@@ -18,9 +18,9 @@ def unit_hash(key, seed: int | str) -> Column:
     return F.conv(F.substring(shuffle_key(key, seed), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def hash_pick(key, seed: int | str, n) -> Column:
-    """A whole number in [0, n) taken from the first 60 bits of the shuffle key."""
-    number = F.conv(F.substring(shuffle_key(key, seed), 1, 15), 16, 10).cast("bigint")
+def hash_pick(key, seed: int | str, n, digits: int = 15) -> Column:
+    """A whole number in [0, n) taken from the first hex digits of the shuffle key; 15 digits are 60 bits."""
+    number = F.conv(F.substring(shuffle_key(key, seed), 1, digits), 16, 10).cast("bigint")
     return number % (n if isinstance(n, Column) else F.lit(n))
 
 

@@ -112,7 +112,7 @@ def describe_events(df: DataFrame, key: str, columns: dict[str, str], out: str,
             name, _, rest = rest.partition("}")
             pieces += [F.lit(text), F.col(columns[name]).cast("string")]
         forms.append(F.concat(*pieces, F.lit(rest)))
-    pick = hash_pick(key, seed, len(forms)).cast("int") + 1
+    pick = hash_pick(key, seed, len(forms), digits=6).cast("int") + 1
     return df.withColumn(out, F.element_at(F.array(*forms), pick))
 
 
