@@ -8,7 +8,7 @@ class weights, scaling and a classifier.
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -21,14 +21,18 @@ from pyspark.sql import functions as F
 
 from caselog.functions import text as T
 from caselog.functions.scalars import sparse_vector
-from caselog.operators import encode, features, text
+from caselog.operators import features, text
 from caselog.operators.clean import ordinal_table
-from caselog.operators.events import first_known, with_case_value
+from caselog.operators.events import with_case_value
+from caselog.operators.prefixes import PrefixSlicer, Selection, case_rows, select_features
 from caselog.operators.ranks import lookup_skewed
 from caselog.operators.split import oversample
 from caselog.session import durable
 
 
+MOST_CLASSES = 10_000  # classes a model may have; more raise
+
+
 @dataclass(frozen=True)
 class LogSpec:
     """Roles of the log's columns and the encoding options."""
@@ -50,17 +54,21 @@ class LogSpec:
     seed: int = 22
 
 
-# --- cells of a log, made once for the largest prefix ----------------------------------------------------------------
+# --- a log as case rows, made once for the largest prefix ------------------------------------------------------------
 
 
 @dataclass
 class PreparedLog:
-    """Cells up to the largest prefix, one row per case, and the rows that hold text."""
+    """Case rows up to the largest prefix, the log for the texts, and the variant of static codes that holds for them."""
 
-    cells: DataFrame
-    cases: DataFrame
+    rows: DataFrame
     log: DataFrame
     k_max: int
+    variant: int = 0
+    selection: Selection | None = None
+
+    def reached(self, spec: LogSpec, k: int) -> DataFrame:
+        return self.rows if spec.keep_short else self.rows.filter(F.col(spec.length) >= k)
 
 
 def string_columns(log: DataFrame, columns) -> list[str]:
@@ -73,46 +81,19 @@ def fit_static_codes(log: DataFrame, spec: LogSpec) -> dict[str, DataFrame]:
     return {c: durable(ordinal_table(log, c)) for c in string_columns(log, spec.static_cols)}
 
 
-def static_cells(log: DataFrame, spec: LogSpec, codes: dict[str, DataFrame]) -> DataFrame:
-    """A cell per static column at the event where its value is first known.
-
-    Filtering cells by event number <= k then gives exactly what is known
-    within prefix k. Text values carry their code + 1, unseen ones the next code.
-    """
-    known = {c: F.when(F.col(c).isNotNull(), F.col(spec.nr)) for c in spec.static_cols}
-    firsts = log.groupBy(spec.case).agg(
-        *[first_known(c, spec.nr).alias(c) for c in spec.static_cols], *[F.min(known[c]).alias(f"_at_{c}") for c in spec.static_cols])
-    numbers = {}
-    for c in spec.static_cols:
-        if c in codes:
-            coded = codes[c].select(F.col(c).alias(f"_v_{c}"), F.col("code").alias(f"_code_{c}"))
-            size = codes[c].agg(F.count(F.lit(1)).alias(f"_n_{c}"))
-            firsts = firsts.join(coded, F.col(c) == F.col(f"_v_{c}"), "left").crossJoin(F.broadcast(size))  # one row
-            numbers[c] = (F.coalesce(F.col(f"_code_{c}"), F.col(f"_n_{c}")) + 1).cast("double")
-        else:
-            numbers[c] = F.col(c).cast("double")
-    at = (lambda c: F.lit(1)) if spec.whole_case else (lambda c: F.col(f"_at_{c}"))
-    items = [F.struct(at(c).cast("int").alias(spec.nr), F.lit(c).alias("feature"), F.when(F.col(f"_at_{c}").isNotNull(), numbers[c]).alias("number"))
-             for c in spec.static_cols]
-    return firsts.select(spec.case, F.inline(F.array(*items))).filter(F.col("number") != 0)
-
-
 def prepare(log: DataFrame, spec: LogSpec, k_max: int, codes: dict[str, DataFrame], keep: bool = True) -> PreparedLog:
-    """Encode once at the largest prefix; every smaller prefix is a filter on the cells."""
-    parts = []
-    if spec.event_col or spec.cat_cols or spec.dynamic_cols:
-        parts.append(encode.all_cells(log, spec.case, spec.nr, k_max, spec.event_col, list(spec.cat_cols), list(spec.dynamic_cols)))
-    if spec.static_cols:
-        parts.append(static_cells(log, spec, codes).select(spec.case, spec.nr, "feature", "number"))
-    cells = parts[0]
-    for p in parts[1:]:
-        cells = cells.unionByName(p)
-    cases = log.groupBy(spec.case).agg(first_known(spec.label, spec.nr).alias(spec.label), F.max(spec.nr).cast("int").alias(spec.length))
+    """Encode once at the largest prefix; every smaller prefix is a slice of the case rows."""
+    rows = case_rows(log, spec, k_max, [codes])
     if keep:
-        cells, cases = durable(cells), durable(cases)
+        rows = durable(rows)
+    return PreparedLog(rows, with_length(log, spec), k_max)
+
+
+def with_length(log: DataFrame, spec: LogSpec) -> DataFrame:
+    """The log with its case lengths, where texts need them."""
     if spec.text_col and spec.length not in log.columns:
-        log = with_case_value(log, spec.case, cases.select(spec.case, spec.length))
-    return PreparedLog(cells, cases, log, k_max)
+        return with_case_value(log, spec.case, log.groupBy(spec.case).agg(F.max(spec.nr).cast("int").alias(spec.length)))
+    return log
 
 
 # --- text blocks: cells (case, feature, number) ----------------------------------------------------------------------
@@ -276,44 +257,40 @@ class PrefixVectorizer(Estimator):
 
     def _fit(self, log: DataFrame) -> "PrefixVectorizerModel":
         codes = fit_static_codes(log, self.spec)
-        return self.fit_prepared(prepare(log, self.spec, self.k, codes, keep=False), codes)
+        return self.fit_prepared(prepare(log, self.spec, self.k, codes), codes)
 
     def fit_prepared(self, data: PreparedLog, codes: dict[str, DataFrame]) -> "PrefixVectorizerModel":
         spec, k = self.spec, self.k
-        cases = prefix_cases(data, spec, k)
-        n_cases = cases.agg(F.count(F.lit(1)).alias("n_cases"))
-        used = data.cells.filter(F.col(spec.nr) <= k).join(cases.select(spec.case), spec.case, "left_semi")
-        shares = features.nonzero_shares(used, n_cases)
-        always = F.col("feature").isin(list(spec.static_cols)) if spec.static_cols else None
-        kept = features.kept(shares, spec.min_share, always)
-        # at most 1/min_share categories per (column, event), so a short list
-        names = sorted(r["feature"] for r in kept.select("feature").collect())
-        names += [c for c in spec.static_cols if c not in names]
-        block = None
+        chosen = data.selection or select_features(data.rows, spec, data.k_max)[0]
+        block, texts = None, []
         if spec.text_col and TEXT_METHODS[self.text_method]:
             block = TextBlock(self.text_method, spec, k, self.text_options)
-            names += block.fit(data.log)
-        return PrefixVectorizerModel(spec, k, names, block, codes)
-
-
-def prefix_cases(data: PreparedLog, spec: LogSpec, k: int) -> DataFrame:
-    return data.cases if spec.keep_short else data.cases.filter(F.col(spec.length) >= k)
+            texts = block.fit(data.log)
+        return PrefixVectorizerModel(spec, k, chosen.categories.get(k, []), chosen.numbers.get(k, []), block, texts, codes)
 
 
 class PrefixVectorizerModel(Model):
-    def __init__(self, spec: LogSpec, k: int, names: list[str], block: TextBlock | None, codes: dict[str, DataFrame]):
+    def __init__(self, spec: LogSpec, k: int, categories: list[str], numbers: list[int], block: TextBlock | None, texts: list[str],
+                 codes: dict[str, DataFrame]):
         super().__init__()
-        self.spec, self.k, self.names, self.block, self.codes = spec, k, names, block, codes
+        self.spec, self.k, self.categories, self.numbers, self.block, self.texts, self.codes = spec, k, categories, numbers, block, texts, codes
+
+    @property
+    def names(self) -> list[str]:
+        return [*self.slicer(0).feature_names(), *self.texts]
+
+    def slicer(self, variant: int) -> PrefixSlicer:
+        return PrefixSlicer(self.spec, self.k, self.categories, self.numbers, variant, extra=("_text",) if self.block is not None else ())
 
     def _transform(self, log: DataFrame) -> DataFrame:
         return self.transform_prepared(prepare(log, self.spec, self.k, self.codes, keep=False))
 
     def transform_prepared(self, data: PreparedLog) -> DataFrame:
-        spec, k = self.spec, self.k
-        cells = data.cells.filter(F.col(spec.nr) <= k).select(spec.case, "feature", "number")
+        spec = self.spec
+        rows = data.reached(spec, self.k)
         if self.block is not None:
-            cells = cells.unionByName(self.block.cells(data.log))
-        return features.vectors(prefix_cases(data, spec, k), cells, spec.case, self.names)
+            rows = features.vectors(rows, self.block.cells(data.log), spec.case, self.texts, out="_text")
+        return self.slicer(data.variant).transform(rows).select(spec.case, spec.label, spec.length, "features")
 
 
 # --- classifiers -----------------------------------------------------------------------------------------------------
@@ -422,21 +399,25 @@ class OutcomeModel:
     def fit_prepared(self, data: PreparedLog, codes: dict[str, DataFrame]) -> "OutcomeModel":
         spec = self.spec
         start = time.time()
-        if prefix_cases(data, spec, self.nr_events).isEmpty():  # nothing to learn: every later score is an empty table
-            self.vectorizer, self.classifier, self.classes = PrefixVectorizerModel(spec, self.nr_events, [], None, codes), None, []
+        if data.selection is None:
+            data = replace(data, selection=select_features(data.rows, spec, data.k_max)[0])
+        if data.selection.cases(self.nr_events) == 0:  # nothing to learn: every later score is an empty table
+            self.vectorizer, self.classifier, self.classes = PrefixVectorizerModel(spec, self.nr_events, [], [], None, [], codes), None, []
             self.timings.update(train_preproc_time=time.time() - start, train_cls_time=0.0)
             return self
         estimator = PrefixVectorizer(spec, self.nr_events, self.text_method, self.text_options)
         self.vectorizer = estimator.fit_prepared(data, codes)
         train = self.vectorizer.transform_prepared(data)
+        sizes = data.selection.classes[self.nr_events]
         if spec.oversample_fit and spec.minority_label is not None:
-            train = oversample(train, spec.case, spec.label, spec.minority_label, spec.seed)
-        weights = features.small_table(features.class_weights(train, spec.label), 100)
-        self.classes = sorted(r[spec.label] for r in weights)
+            train = durable(oversample(train, spec.case, spec.label, spec.minority_label, spec.seed))
+            sizes = {r[spec.label]: r["n_cases"] for r in features.small_table(features.class_weights(train, spec.label), MOST_CLASSES)}
+        sizes = {y: c for y, c in sizes.items() if y is not None}
+        self.classes = sorted(sizes)
+        n = sum(sizes.values())
         index = F.create_map(*[F.lit(x) for i, y in enumerate(self.classes) for x in (y, float(i))])
-        weight = F.create_map(*[F.lit(x) for r in weights for x in (r[spec.label], float(r["weight"]))])
-        train = durable(train.withColumn("label_index", index[F.col(spec.label)]).withColumn("weight", weight[F.col(spec.label)]))
-        n = sum(r["n_cases"] for r in weights)
+        weight = F.create_map(*[F.lit(x) for y in self.classes for x in (y, n / (len(sizes) * sizes[y]))])
+        train = train.withColumn("label_index", index[F.col(spec.label)]).withColumn("weight", weight[F.col(spec.label)])
         self.timings["train_preproc_time"] = time.time() - start
         start = time.time()
         self.classifier = None
@@ -451,7 +432,7 @@ class OutcomeModel:
             raise ValueError("fit before scoring")
         spec = self.spec
         if not self.classes:
-            rows = prefix_cases(data, spec, self.nr_events).filter(F.lit(False))
+            rows = data.rows.filter(F.lit(False))
             return rows.select(spec.case, spec.label, spec.length, F.lit(self.nr_events).alias("nr_events"), F.array().cast("array<double>").alias("p"))
         return self.score_vectors(self.vectorizer.transform_prepared(data))
 
@@ -464,13 +445,27 @@ class OutcomeModel:
             scored = self.classifier.transform(rows).withColumn("p", vector_to_array("_probability"))
         return scored.select(spec.case, spec.label, spec.length, F.lit(self.nr_events).alias("nr_events"), "p")
 
+    def add_probabilities(self, rows: DataFrame, out: str, variant: int = 0) -> DataFrame:
+        """Case rows with a column of class probabilities, null for cases that end before the prefix; no shuffle, not for text models."""
+        columns = [F.col(f"`{c}`") for c in rows.columns]
+        if not self.classes:
+            return rows.withColumn(out, F.lit(None).cast("array<double>"))
+        reaches = F.col(self.spec.length) >= self.nr_events
+        if self.classifier is None:
+            return rows.withColumn(out, F.when(reaches, F.array(F.lit(1.0))))
+        scored = self.classifier.transform(self.vectorizer.slicer(variant).transform(rows))
+        return scored.select(*columns, F.when(reaches, vector_to_array("_probability")).alias(out))
+
     def predict_proba(self, log: DataFrame) -> DataFrame:
         return self.score_prepared(prepare(log, self.spec, self.nr_events, self.vectorizer.codes, keep=False))
 
     def predict(self, log: DataFrame) -> DataFrame:
         """predict_proba with ``prediction``: the class of the largest probability."""
+        return self.predicted(self.predict_proba(log))
+
+    def predicted(self, scored: DataFrame) -> DataFrame:
+        """``prediction`` beside the probabilities ``p``."""
         best = F.array_position("p", F.array_max("p"))
-        scored = self.predict_proba(log)
         if not self.classes:
             return scored.withColumn("prediction", F.col(self.spec.label))  # no rows
         names = F.array(*[F.lit(y) for y in self.classes])
