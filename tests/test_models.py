@@ -119,3 +119,46 @@ def test_out_of_fold_predicts_every_case_once(log):
     assert got.count() == got.select("case_id").distinct().count() == 240
     with pytest.raises(ValueError):
         X.out_of_fold(log, SPEC, folds="all", row_limit=10)
+
+
+def test_prefix_models_side_by_side_score_as_alone(log):
+    """One case row serves every prefix: no shuffle in the plan, and the scores of models that are made prefix by prefix."""
+    m = X.CaseMonitor(SPEC, cls_options={"n_estimators": 5, "max_depth": 3}).train(log)
+    data = m.prepared(log)
+    scored = m.score_prepared(data)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "from_json" not in plan
+    got = {(r["case_id"], r["nr_events"]): r["score"] for r in scored.collect()}
+    assert len(got) == log.count()
+    for k in (1, 3):
+        alone = OutcomeModel(k, SPEC, "rf", {"n_estimators": 5, "max_depth": 3}).fit(log)
+        assert alone.vectorizer.names == m.models[k].vectorizer.names
+        want = {r["case_id"]: r["p"][1] for r in alone.predict_proba(log).collect()}
+        assert want == {c: s for (c, n), s in got.items() if n == k}
+
+
+def test_features_of_a_fold_are_those_of_its_own_training_part(log):
+    """Counts of all cases less the fold's own give what counting the training part gives; one encoding serves all folds."""
+    folded = X.with_folds(log, SPEC, 3)
+    for f, (train, test, codes) in enumerate(X.fold_data(folded, SPEC, 3)):
+        alone, _ = X.training_data(folded.filter(F.col("fold") != f), SPEC)
+        assert (train.selection.categories, train.selection.numbers, train.selection.classes) == (
+            alone.selection.categories, alone.selection.numbers, alone.selection.classes)
+        rows = lambda d, v: sorted((r["case_id"], r["names"], r["numbers"], [tuple(s) for s in r["statics"][v]]) for r in d.rows.collect())
+        own = rows(alone, 0)
+        assert rows(train, f) == own and train.rows.count() + test.rows.count() == 240
+
+
+def test_gaps_and_late_static_values(spark):
+    rows = [(1, 0, 2, 1, "a", 5.0, None), (1, 0, 2, 3, "b", 7.0, "late"), (2, 1, 1, 1, "a", None, "now")]
+    log = spark.createDataFrame(rows, "case_id long, label int, case_length int, event_nr int, act string, v double, kind string")
+    spec = LogSpec(static_cols=("kind",), dynamic_cols=("v",), event_col="act", min_share=0.0, keep_short=True)
+    vectors = {}
+    for k in (1, 3):
+        model = OutcomeModel(k, spec, "rf", {"n_estimators": 2, "max_depth": 1}).fit(log)
+        names = model.vectorizer.names
+        for r in model.vectorizer.transform(log).collect():
+            vectors[k, r["case_id"]] = dict(zip(names, r["features"].toArray()))
+    assert vectors[1, 1] == {"event1_a": 1.0, "v_event1": 5.0, "kind": 0.0} and vectors[1, 2] == {"event1_a": 1.0, "v_event1": 0.0, "kind": 2.0}
+    assert vectors[3, 1] == {"event1_a": 1.0, "event3_b": 1.0, "v_event1": 5.0, "v_event3": 7.0, "kind": 1.0}
+    assert vectors[3, 2] == {"event1_a": 1.0, "event3_b": 0.0, "v_event1": 0.0, "v_event3": 0.0, "kind": 2.0}

@@ -57,8 +57,11 @@ def test_best_parameters_come_from_five_folds_of_the_training_side(spark, sf_dir
 
 def test_equal_settings_are_trained_once(spark, sf_dir, monkeypatch):
     trained = []
-    monkeypatch.setattr(X.CaseMonitor, "train", lambda m, log, max_events=None: (trained.append(m.cls_options), m)[1])
-    monkeypatch.setattr(X.CaseMonitor, "test", lambda m, log, levels, **options: (None, spark.createDataFrame([(levels[0], "f1", 1.0)], "confidence double, metric string, value double")))
+    monkeypatch.setattr(X, "training_data", lambda *a: (None, {}))
+    monkeypatch.setattr(X, "train_all", lambda jobs, *a: trained.extend(m.cls_options for m, *_ in jobs))
+    monkeypatch.setattr(X.CaseMonitor, "prepared", lambda m, log: None)
+    monkeypatch.setattr(X.CaseMonitor, "test_prepared", lambda m, log, levels, **options: (
+        None, spark.createDataFrame([(c, "f1", 1.0) for c in levels], "confidence double, metric string, value double")))
     best = spark.createDataFrame([(0.5, "rf", 3), (0.6, "rf", 5), (0.7, "rf", 3)], "confidence double, cls string, depth int")
     out = X.final_run(None, None, Q.SPEC, best, lambda r: {"cls_options": {"max_depth": r["depth"]}})
     assert out.count() == 3 and [t["max_depth"] for t in trained] == [3, 5]
@@ -80,11 +83,8 @@ def test_alerts_with_case_length_have_every_level(spark, sf_dir):
 
 
 def test_each_prefix_has_its_own_times(spark, sf_dir, small_forest, monkeypatch):
-    monkeypatch.setattr(X.CaseMonitor, "train", lambda m, log, max_events=None, whole=X.CaseMonitor.train: whole(m, log, 2))
-    train, test = Q.sides(spark, sf_dir)
-    m = X.CaseMonitor(Q.SPEC, cls_options=Q.FOREST).train(train)
-    key = lambda df: sorted((r["case_id"], r["nr_events"], round(r["score"], 9)) for r in df.collect())
-    assert key(m.timed_score(test)) == key(m.score(test))
+    whole_data = X.training_data
+    monkeypatch.setattr(X, "training_data", lambda log, spec, max_events=None: whole_data(log, spec, 2))
     asked = []
     monkeypatch.setattr(X, "timed_runs", lambda *a, whole=X.timed_runs, iterations, **o: (asked.append((iterations, o.get("max_events"))), whole(*a, iterations=2, **o))[1])
     got = Q.timed_prefixes(spark, sf_dir).collect()
