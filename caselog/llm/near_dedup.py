@@ -311,13 +311,14 @@ class _Search:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int = 5,
                     k: int = SKETCH, wide: int = WIDE, block: int = BLOCK) -> DataFrame:
-    """(id, n_shingles, component_id, kept) per row of ``docs``.
+    """(id, text_hash, n_shingles, component_id, first, kept) per row of ``docs``.
 
     Two documents are linked when their shingle sets have a Jaccard similarity of at least percent/100; component_id
     is the smallest id reachable over links, kept marks that id's row. A text with fewer than ``words`` words is one
     shingle. Null, empty and blank texts have no shingles and are linked with nothing: they are their own component.
     Rows that repeat an id are separate rows, each with the component of its own text; a null id has the component's
-    smallest id, and is kept only when it stands alone. Other columns are ignored, whatever their names.
+    smallest id, and is kept only when it stands alone. ``first`` marks the rows of one id and text in each component (the smallest id,
+    null ids last, then the smallest hash of the text) and every row without words. Other columns are ignored, whatever their names.
     """
     with Workspace(docs.sparkSession) as space:
         # a row is known by its id and a hash of its text; rows equal in both have one set
@@ -333,10 +334,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.union(search.links(search.rest_pairs(shared, search.labels(links))))
         labels = search.labels(links)
 
-        classes = names.filter("n > 0").groupBy("sid").agg(F.min("row.i").alias("first")).join(labels, "sid", "left")
+        first = F.min(F.struct(F.col("row.i").isNull().alias("no_id"), F.col("row.i").alias("i"), F.col("row.h").alias("h")))
+        classes = names.filter("n > 0").groupBy("sid").agg(first.alias("first")).join(labels, "sid", "left")
         classes = classes.select("sid", "first", F.coalesce("label", "sid").alias("label"))
         lows = classes.groupBy("label").agg(F.min("first").alias("low"))
         low_of = classes.join(lows, "label").select("sid", "low")
-        component = F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("row.i"))
-        found = names.join(low_of, "sid", "left").select(F.col("row.i").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+        component = F.when(F.col("n") > 0, F.col("low.i")).otherwise(F.col("row.i"))
+        own = F.struct(F.col("row.i").isNull().alias("no_id"), F.col("row.i").alias("i"), F.col("row.h").alias("h"))
+        found = names.join(low_of, "sid", "left").select(
+            F.col("row.i").alias(id_col), F.col("row.h").alias("text_hash"), F.col("n").alias("n_shingles"), component.alias("component_id"),
+            F.coalesce(own == F.col("low"), F.lit(True)).alias("first"))
         return durable(found.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
+
+
+def keep_one_of_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows of ``docs`` with one row of each component left: the smallest id, null ids last, then the smallest hash of the text.
+
+    Rows that repeat an id and a text are copies as well and one of them stays. Rows without words are no copies and all stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options)
+    key = [F.col(id_col).cast("long").alias("i"), F.col("text_hash").alias("h")]
+    counted = found.filter("n_shingles > 0").groupBy(F.struct(*key).alias("_nd_key")).agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n"))
+    counted = durable(counted.filter("not first or n > 1"))
+    known = docs.withColumn("_nd_own", F.struct(F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(F.col(f"`{text_col}`")).alias("h")))
+    own = F.col("_nd_own") == F.col("_nd_key")
+    alone = known.join(counted.select("_nd_key"), own, "left_anti")
+    repeated = known.join(counted.filter("first").select("_nd_key"), own, "left_semi").dropDuplicates(["_nd_own"])
+    return alone.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

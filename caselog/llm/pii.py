@@ -12,10 +12,8 @@ kind. A pair must recur in ``support`` documents: what happened once is no evide
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -126,7 +124,7 @@ def _found(batches: Batches) -> Batches:
 
 
 def _marked(batches: Batches) -> Batches:
-    """(id, base, spans): the base spans and every place of the words in ``told``."""
+    """(id, h, base, spans): the base spans and every place of the words in ``told``."""
     for batch in batches:
         rows = batch.select(["base", "words", "starts", "ends", "told"]).to_pylist()
         spans = []
@@ -135,7 +133,7 @@ def _marked(batches: Batches) -> Batches:
             more = [(a, told[t], b) for t, a, b in zip(r["words"], r["starts"], r["ends"]) if t in told] if told else []
             own = sorted([(x["start"], x["kind"], x["end"]) for x in r["base"]] + more)
             spans.append([{"start": a, "kind": k, "end": b} for a, k, b in own])
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("base"), pa.array(spans, _SPAN)], names=["id", "base", "spans"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "h", "base")), pa.array(spans, _SPAN)], names=["id", "h", "base", "spans"])
 
 
 def _word_counts(batches: Batches) -> Batches:
@@ -207,7 +205,7 @@ def disclosures(held: DataFrame, docs: DataFrame, text_col: str, support: int, g
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT,
                        generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(id, base, spans) for each row of ``docs``: arrays of (start, kind, end), code points, end exclusive.
+    """(id, text_hash, base, spans) for each row of ``docs``: arrays of (start, kind, end), code points, end exclusive.
 
     ``kind`` indexes KINDS; ``base`` has the patterns' spans, ``spans`` also the words to generalise or remove; both by
     start, then kind. Null and empty texts have none. Rows of one id and text share the answer; each counts as a document.
@@ -224,9 +222,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         # a word that reveals several entities is removed if one of them asks for it
         words = asked.join(revealing, ["u", "t"]).groupBy("d", "t").agg(F.max(kind).alias("kind"))
         told = words.groupBy("d").agg(F.collect_list(F.struct("t", "kind")).alias("told"))
-        whole = found.join(told, F.struct(found["id"], found["h"]) == told["d"], "left").select("id", "base", "words", "starts", "ends", "told")
-        spans = whole.mapInArrow(_marked, f"id long, base {_SPANS_TYPE}, spans {_SPANS_TYPE}")
-        return durable(spans.select(F.col("id").alias(id_col), "base", "spans"))
+        whole = found.join(told, F.struct(found["id"], found["h"]) == told["d"], "left").select("id", "h", "base", "words", "starts", "ends", "told")
+        spans = whole.mapInArrow(_marked, f"id long, h long, base {_SPANS_TYPE}, spans {_SPANS_TYPE}")
+        return durable(spans.select(F.col("id").alias(id_col), F.col("h").alias("text_hash"), "base", "spans"))
 
 
 def listing(spans: str) -> Column:
@@ -237,24 +235,29 @@ def listing(spans: str) -> Column:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with their text sanitised: entities become [EMAIL], [IP], [CARD], [PHONE], generalised words [WORD],
-    removed ones vanish. Where spans overlap the first by start, then kind, wins. Null texts stay null."""
-    found = find_personal_data(docs, id_col, text_col, **options).select(F.col(id_col).alias("_id"), "spans").dropDuplicates(["_id", "spans"])
+    removed ones vanish. Where spans overlap the first by start, then kind, wins. Null texts stay null, empty ones empty.
 
-    @F.pandas_udf("string")
-    def rewrite(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    One row for each row of ``docs``, in its columns: spans belong to an id and a text, so rows that share an id but not the text keep
+    their own, and repeated rows stay. Null ids are allowed, names of columns are free.
+    """
+    found = find_personal_data(docs, id_col, text_col, **options).select(
+        F.struct(F.col(id_col).alias("i"), F.col("text_hash").alias("h")).alias("_pd_key"), F.col("spans").alias("_pd_spans")).dropDuplicates(["_pd_key"])
+
+    @F.arrow_udf("string")
+    def rewrite(texts: pa.Array, spans: pa.Array) -> pa.Array:
         marks = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[WORD]", ""]
-        for texts, spans in parts:
-            out = []
-            for text, own in zip(texts, spans):
-                if text is not None and own is not None:
-                    done, at = [], 0
-                    for s in own:
-                        if s["start"] >= at:
-                            done += [text[at : s["start"]], marks[s["kind"]]]
-                            at = s["end"]
-                    text = "".join(done) + text[at:]
-                out.append(text)
-            yield pd.Series(out, dtype=object)
-
-    joined = docs.join(found, F.struct(F.col(id_col).alias("i")) == F.struct(F.col("_id").alias("i")), "left")
-    return joined.select(*[rewrite(F.col(text_col), F.col("spans")).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+        out = []
+        for text, own in zip(texts.to_pylist(), spans.to_pylist()):
+            if text is not None and own:
+                done, at = [], 0
+                for s in own:
+                    if s["start"] >= at:
+                        done += [text[at : s["start"]], marks[s["kind"]]]
+                        at = s["end"]
+                text = "".join(done) + text[at:]
+            out.append(text)
+        return pa.array(out, pa.string())
+
+    key = F.struct(F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"))
+    joined = docs.withColumn("_pd_own", key).join(found, F.col("_pd_own") == F.col("_pd_key"), "left")
+    return joined.select(*[rewrite(F.col(f"`{c}`"), F.col("_pd_spans")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -159,11 +158,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_c
 def quality_score(model: QualityModel, text_col: str = "text") -> Column:
     """Score column of a whole text; null and empty texts get the score of no evidence."""
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache = Cache(_describe)
         for part in parts:
-            yield pd.Series([model.score(grams(t, cache)) for t in part], dtype="float64")
+            yield pa.array([model.score(grams(t.as_py(), cache)) for t in part], pa.float64())
 
     return score(F.col(text_col))
 

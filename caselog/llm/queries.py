@@ -41,7 +41,7 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bottom_k_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def winnowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

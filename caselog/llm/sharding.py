@@ -49,12 +49,6 @@ def document_dims(id_col: str = "doc_id") -> dict[str, Column]:
     }
 
 
-def _keyed(df: DataFrame, dims: dict[str, Column], tie: Column) -> DataFrame:
-    """Each dimension as a 61-bit key: the value, then a hash of the row."""
-    low = F.pmod(tie, F.lit(1 << LOW_BITS))
-    return df.withColumns({f"k_{name}": F.shiftleft(value.cast("long"), LOW_BITS) + low for name, value in dims.items()})
-
-
 def _node_rows(spark, nodes: dict[int, Node]):
     rows = [(i, n.dim, n.cut, n.bounds[0] if n.bounds else None, n.bounds[1] if n.bounds else None) for i, n in nodes.items()]
     made = spark.createDataFrame(rows, "node long, dim string, cut long, lo long, hi long")
@@ -123,11 +117,16 @@ def kd_shards(rows: DataFrame, dims: dict[str, Column], tie: Column, order: list
     Give the number of shards, or the bytes a leaf may have at most: the tree then grows ceil(total / target) leaves.
     Shards differ by the largest row and a fraction of a percent. ``order`` names columns that order rows within a
     shard; rows equal in all of them and in the tie hash are interchangeable and stay together. Null sizes count 0,
-    null dimensions must be mapped by the caller's expressions; an empty table gives an empty result.
+    null dimensions must be mapped by the caller's expressions; an empty table gives an empty result. Columns named
+    ``shard`` and ``slot`` are replaced, all other names are free.
     """
     with Workspace(rows.sparkSession) as space:
-        columns = [c for c in rows.columns if c not in ("shard", "slot")]
-        keyed = space.table(_keyed(rows.select(*columns).withColumn("size", F.coalesce("size", F.lit(0)).cast("long")), dims, tie).withColumn("_tie", tie), "meta")
+        # the caller's columns travel as one struct, so their names are free
+        given = rows.withColumn("size", F.coalesce("size", F.lit(0)).cast("long")).drop("shard", "slot")
+        low = F.pmod(tie, F.lit(1 << LOW_BITS))
+        keys = [(F.shiftleft(value.cast("long"), LOW_BITS) + low).alias(f"k_{name}") for name, value in dims.items()]
+        inner = given.select(F.struct(*[F.col(f"`{c}`") for c in given.columns]).alias("row"), F.col("size"), tie.alias("_tie"), *keys)
+        keyed = space.table(inner, "meta")
         total, n = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
         if shards is None:
             shards = max(1, -(-total // target_bytes))
@@ -135,12 +134,16 @@ def kd_shards(rows: DataFrame, dims: dict[str, Column], tie: Column, order: list
         numbers = rows.sparkSession.createDataFrame([(i, leaf.first) for i, leaf in leaves.items()], "leaf long, shard int")
         numbers = F.broadcast(numbers) if len(leaves) <= FEW_NODES else numbers
         slices = max(1, n // (shards * 50_000))
-        sharded = placed.join(numbers, F.col("node") == F.col("leaf")).drop("node", "leaf", *[f"k_{d}" for d in dims])
-        ranked = row_number_by_slice(sharded, ["shard"], [F.col(c) for c in order] + [F.col("_tie")], F.pmod(F.col("_tie"), F.lit(slices)), "slot")
-        return durable(ranked.withColumn("slot", F.col("slot") - 1).drop("_tie"))
+        sharded = placed.join(numbers, F.col("node") == F.col("leaf")).select("row", "_tie", "shard")
+        ranked = row_number_by_slice(sharded, ["shard"], [F.col("row")[c] for c in order] + [F.col("_tie")], F.pmod(F.col("_tie"), F.lit(slices)), "slot")
+        return durable(ranked.select("row.*", "shard", (F.col("slot") - 1).alias("slot")))
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, id_col: str, path: str) -> None:
-    """Write whole documents into one folder per shard, in slot order within a file."""
-    joined = docs.join(placed.select(id_col, "shard", "slot"), id_col)
+    """Write whole documents into one folder per shard, in slot order within a file.
+
+    ``placed`` gives each id one shard and slot; documents without one, such as those of a null id, are not written. Columns of
+    ``docs`` named ``shard`` and ``slot`` are replaced.
+    """
+    joined = docs.drop("shard", "slot").join(placed.select(id_col, "shard", "slot"), id_col)
     joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

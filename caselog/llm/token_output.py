@@ -52,14 +52,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(t.split() != [t] for t in added):
+            raise ValueError("an added token holds a blank, so texts can't be cut at blanks")
+        # the library cuts texts at added tokens; chunks with one are encoded by themselves
+        self.added = re.compile("|".join(map(re.escape, added))) if added else re.compile(r"(?!)")
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)  # byte-level: a letter of a piece is a byte
         for piece, i in self.tokenizer.get_vocab().items():
             self.bytes_of[i] = len(piece)
 
     def __call__(self, new: list[str]) -> list[bytes]:
         out: dict[str, bytes] = {}
-        plain = [c for c in new if _PLAIN.match(c)]
+        plain = [c for c in new if _PLAIN.match(c) and not self.added.search(c)]
         for at in range(0, len(plain), STRING):
             part = plain[at : at + STRING]
             ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, dtype="<u4")
@@ -105,10 +109,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     """Encode every whole text, append ``end_id``, and write the folder described above.
 
     Null and empty texts are the end id alone; null ids come first; rows that repeat an id are written one after the
-    other. Other columns are left out. ``tokenizer_path`` must be readable by the executors.
+    other, in the order of a hash of their texts. The ids are the library's, those of added tokens such as ``<|endoftext|>`` in a text included. Other columns are left out. ``tokenizer_path`` must be readable by the executors.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     made = ordered.mapInArrow(_encode(tokenizer_path, end_id), "part int, doc_id long, start_in_part long, n_tokens long, ids array<int>")
     made.write.options(**_FORMAT).parquet(f"{path}/ids")
     spark = docs.sparkSession
