@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from caselog.llm import decontaminate, line_dedup, near_dedup, pieces, quality_classifier
 from caselog.llm.queries import tokenizer_file
-from caselog.session import shared_root
+from caselog.session import remove_folder, shared_root
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject. Rows without text carry no evidence and are judged like any other."""
+    """Documents that the quality classifier doesn't reject. Null and empty texts carry no evidence and are judged like any other; repeated
+    rows are judged alike and all stay or go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_classifier.fit_quality(docs, labels)
     score = quality_classifier.quality_score(model)
@@ -34,20 +35,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest id. Documents without words are no copies and stay."""
-    found = near_dedup.near_duplicates(docs)
-    dropped = found.filter(~F.col("kept") & (F.col("component_id") != F.col("doc_id"))).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies: the smallest id, null ids last. Documents without words are no copies and stay."""
+    return near_dedup.keep_one_of_copies(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item. Null and empty texts hold none and stay, and so do repeated rows without one."""
     found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.filter(F.size("leaks") == 0).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each text, and whether they decode to it."""
+    """Piece ids of each text, one row per row, and whether they decode to it. An empty text has no ids, a null one is kept null."""
     vocabulary = pieces.Pieces.load(tokenizer_file("piece_bpe_32k.model"))
     encoded = pieces.decode_pieces(pieces.encode_pieces(docs.select("doc_id", "lang", "source", "text"), vocabulary), vocabulary)
     counted = pieces.token_counts(encoded, vocabulary)
@@ -72,4 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")
+        if number:
+            remove_folder(spark, f"{folder}/{number - 1}")  # its successor is written
     return docs
