@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from caselog.plans.logs import USER_SQL, table
 from caselog.plans.registry import query
+from caselog.session import durable, remove_folder
 from caselog.sources.files import shared_folder
 from caselog.streaming import cases
 
@@ -13,15 +14,24 @@ RUN_SQL = USER_SQL + """, run as (select *, sum(value) over (partition by case_i
 scored as (select *, so_far / (20.0 * event_nr) as score from run)"""
 
 
+DELAY_MS = 3600 * 1000
+
+
 def watched(spark, sf, emit):
-    schema = table(spark, sf, "events").schema
+    """The events as a stream that ends: a last row without a case moves the watermark to the latest event, so that nothing is held back."""
+    events = table(spark, sf, "events")
+    folder = shared_folder(spark, "stream")
+    end = events.agg((F.max("ts").cast("timestamp") + F.expr(f"interval {DELAY_MS // 1000} seconds")).alias("ts"))
+    end.select(*[F.col("ts").cast(f.dataType).alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]).write.parquet(f"{folder}/end")
     # a glob, since a plain path has to be a folder here
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet").withColumn(
+    given = spark.readStream.schema(events.schema).parquet(f"{sf}/event[s].parquet")
+    stream = given.unionByName(spark.readStream.schema(events.schema).parquet(f"{folder}/end")).withColumn(
         "case_id", F.concat(F.col("user_id").cast("string"), F.lit("_"), F.to_date("ts").cast("string")))
-    out = cases.watch_cases(stream, "case_id", "ts", "event_id", "value", 20.0, 0.6, emit=emit)
-    folder = shared_folder(spark, "stream")
+    out = cases.watch_cases(stream, "case_id", "ts", "event_id", "value", 20.0, 0.6, delay_ms=DELAY_MS, emit=emit)
     cases.run_available(out, f"{folder}/out", f"{folder}/progress")
-    return spark.read.schema(cases.OUTPUT).parquet(f"{folder}/out")
+    found = durable(spark.read.schema(cases.OUTPUT).parquet(f"{folder}/out"))
+    remove_folder(spark, folder)
+    return found
 
 
 @query("streamed_prefixes", "SM-1", f"""
