@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from caselog.operators import experiments as X
 from caselog.operators import metrics
 from caselog.operators.models import LogSpec, OutcomeModel, TopicModel, UnitScaler, WordVectors, p_of
+from caselog.operators.saved import load_model, save_model
 
 SPEC = LogSpec(static_cols=("amount", "kind"), dynamic_cols=("v",), cat_cols=("cat",), event_col="act", text_col="note")
 
@@ -162,3 +163,14 @@ def test_gaps_and_late_static_values(spark):
     assert vectors[1, 1] == {"event1_a": 1.0, "v_event1": 5.0, "kind": 0.0} and vectors[1, 2] == {"event1_a": 1.0, "v_event1": 0.0, "kind": 2.0}
     assert vectors[3, 1] == {"event1_a": 1.0, "event3_b": 1.0, "v_event1": 5.0, "v_event3": 7.0, "kind": 1.0}
     assert vectors[3, 2] == {"event1_a": 1.0, "event3_b": 0.0, "v_event1": 0.0, "v_event3": 0.0, "kind": 2.0}
+
+
+@pytest.mark.parametrize("method,options,text,text_options", [
+    ("rf", {"n_estimators": 5, "max_depth": 3}, "NBLogCountRatioTransformer", {"nr_selected": 4, "pos_label": 1}), ("svm", {"n_components": 16}, None, None),
+    ("logit", {}, "LDATransformer", {"num_topics": 2, "passes": 1}), ("logit", {}, "PVTransformer", {"size": 4})])
+def test_saved_models_score_as_before(spark, log, tmp_path, method, options, text, text_options):
+    model = OutcomeModel(2, SPEC, method, options, text, text_options).fit(log)
+    save_model(model, spark, str(tmp_path / "m"))
+    again = load_model(spark.newSession(), str(tmp_path / "m"))
+    key = lambda m: {r["case_id"]: [round(x, 12) for x in r["p"]] for r in m.predict_proba(log).collect()}
+    assert again.spec == SPEC and again.vectorizer.names == model.vectorizer.names and key(again) == key(model)
