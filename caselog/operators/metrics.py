@@ -15,6 +15,12 @@ def roc_auc(df: DataFrame, score: str, positive: Column, by: list[str] = (), spa
     inside each slice, and pairs across slices follow from the slice totals.
     No task sees more than one slice.
     """
+    both = F.col("p").cast("double") * F.col("n").cast("double")
+    return won_pairs(df, score, positive, by, span, slices).select(*by, F.try_divide(F.col("won"), both).alias("auc"))
+
+
+def won_pairs(df: DataFrame, score: str, positive: Column, by: list[str] = (), span: tuple[float, float] | None = None, slices: int = 4096) -> DataFrame:
+    """Per group: pairs of a positive and a negative row that the positive's score wins (ties by half), positives ``p``, negatives ``n``."""
     by = list(by)
     counts = df.groupBy(*by, score).agg(F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_n"))
     if span is None:
@@ -34,8 +40,7 @@ def roc_auc(df: DataFrame, score: str, positive: Column, by: list[str] = (), spa
     earlier = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     total = per_slice.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     won = F.sum(F.col("_w") + F.col("_p").cast("double") * F.col("_before"))
-    both = F.sum("_p").cast("double") * F.sum("_n").cast("double")
-    return total.groupBy(*by).agg(F.try_divide(won, both).alias("auc"))
+    return total.groupBy(*by).agg(won.alias("won"), F.sum("_p").alias("p"), F.sum("_n").alias("n"))
 
 
 def hard_auc(df: DataFrame, label: str, prediction: str, positive) -> DataFrame:
@@ -96,36 +101,63 @@ def classification_report(df: DataFrame, label: str, prediction: str, digits: in
     return report
 
 
-def _per_level(df: DataFrame, certainty: Column, confidences: list[float]) -> DataFrame:
-    """Each row once per level it reaches; rows that reach none disappear here."""
-    levels = F.array(*[F.lit(float(c)) for c in confidences])
-    return df.withColumn("confidence", F.explode(F.filter(levels, lambda c: c <= certainty)))
+def _bands(df: DataFrame, label: str, p_pos: str, levels: list[float]) -> DataFrame:
+    """Rows with their ``band``: how many of the ascending levels the larger probability reaches, negative where it is label 0's.
+
+    Bands ascend with the probability, and a level keeps whole bands: what a level needs is a sum over at most 2 * levels + 1
+    rows, so the rows are counted once, whatever the number of levels.
+    """
+    p = F.col(p_pos)
+    reached = F.size(F.filter(F.array(*[F.lit(float(c)) for c in levels]), lambda c: c <= F.greatest(p, 1.0 - p)))
+    return df.select(F.col(label).alias("y"), p.alias("p"), F.when(p < 1.0 - p, -reached).otherwise(reached).alias("band"))
+
+
+def _kept_bands(bands: DataFrame, levels: list[float], columns: list[str]) -> DataFrame:
+    """(confidence, kept, all): the bands that each level keeps and all of them, in ascending order, as arrays; levels that keep none are left out."""
+    one = bands.agg(F.array_sort(F.collect_list(F.struct("band", *columns))).alias("all"))  # one row of a few bands
+
+    def beyond(i: int) -> Column:
+        return F.filter("all", lambda b: F.abs(b["band"]) > i)
+
+    cells = [F.struct(F.lit(float(c)).alias("confidence"), beyond(i).alias("kept")) for i, c in enumerate(levels)]
+    return one.select("all", F.inline(F.array(*cells))).filter(F.size("kept") > 0)
+
+
+def _sum(cells: Column, of) -> Column:
+    return F.aggregate(cells, F.lit(0.0), lambda a, b: a + of(b).cast("double"))
 
 
 def coverage_curve(df: DataFrame, label: str, p_pos: str, confidences: list[float]) -> DataFrame:
     """Per level: accuracy, AUC and share of the rows whose larger probability reaches it.
 
-    Binary; ``p_pos`` is the probability of label 1. Levels no row reaches are left out.
+    Binary; ``p_pos`` is the probability of label 1. Levels no row reaches are left out. Pairs inside a band are counted once; pairs
+    of bands follow from the bands' sums, since every score of a higher band is larger.
     """
-    p = F.col(p_pos)
-    kept = _per_level(df.select(label, p_pos), F.greatest(p, 1.0 - p), confidences)
-    said = F.when(F.col(p_pos) > 1.0 - F.col(p_pos), 1).otherwise(0)
-    acc = kept.groupBy("confidence").agg(F.avg((F.col(label) == said).cast("int")).alias("accuracy"),
-                                         F.count(F.lit(1)).alias("_kept"))
-    curve = acc.join(roc_auc(kept, p_pos, F.col(label) == 1, ["confidence"], (0.0, 1.0)), "confidence")  # one row per level
-    total = df.agg(F.count(F.lit(1)).alias("_all"))
-    return curve.crossJoin(F.broadcast(total)).select(
-        "confidence", "accuracy", "auc", (F.col("_kept") / F.col("_all")).alias("coverage"))
+    levels = sorted(set(confidences))
+    rows = _bands(df, label, p_pos, levels)
+    said = F.when(F.col("p") > 1.0 - F.col("p"), 1).otherwise(0)
+    counts = rows.groupBy("band").agg(F.count(F.lit(1)).alias("rows"), F.count("y").alias("known"), F.count_if(F.col("y") == said).alias("hits"))
+    bands = counts.join(won_pairs(rows.filter("band <> 0"), "p", F.col("y") == 1, ["band"], (0.0, 1.0)), "band", "left")  # a row per band
+    wide = _kept_bands(bands, levels, ["rows", "known", "hits", "won", "p", "n"])
+    start = F.struct(F.lit(0.0).alias("won"), F.lit(0.0).alias("below"))
+    pairs = F.aggregate("kept", start, lambda a, b: F.struct((a["won"] + b["won"] + b["p"] * a["below"]).alias("won"), (a["below"] + b["n"]).alias("below")))
+    positives, negatives = _sum(F.col("kept"), lambda b: b["p"]), _sum(F.col("kept"), lambda b: b["n"])
+    return wide.select(
+        "confidence", F.try_divide(_sum(F.col("kept"), lambda b: b["hits"]), _sum(F.col("kept"), lambda b: b["known"])).alias("accuracy"),
+        F.try_divide(pairs["won"], positives * negatives).alias("auc"),
+        (_sum(F.col("kept"), lambda b: b["rows"]) / _sum(F.col("all"), lambda b: b["rows"])).alias("coverage"))
 
 
 def detailed_metrics(df: DataFrame, label: str, p_pos: str, confidences: list[float]) -> DataFrame:
     """Eleven measures per level in long form, over rows whose larger probability reaches it."""
-    p = F.col(p_pos)
-    kept = _per_level(df.select(label, p_pos), F.greatest(p, 1.0 - p), confidences)
-    y, said = F.col(label) == 1, F.col(p_pos) > 1.0 - F.col(p_pos)
-    c = kept.groupBy("confidence").agg(
+    levels = sorted(set(confidences))
+    y, said = F.col("y") == 1, F.col("p") > 1.0 - F.col("p")
+    bands = _bands(df, label, p_pos, levels).groupBy("band").agg(
         F.count_if(~y & ~said).alias("tn"), F.count_if(y & said).alias("tp"),
         F.count_if(y & ~said).alias("fn"), F.count_if(~y & said).alias("fp"))
+    names = ["tn", "tp", "fn", "fp"]
+    kept = _kept_bands(bands, levels, names)
+    c = kept.select("confidence", *[_sum(F.col("kept"), lambda b: b[x]).alias(x) for x in names])  # noqa: B023
     tp, fp, tn, fn = (F.col(x).cast("double") for x in ("tp", "fp", "tn", "fn"))
 
     def rate(a, b):

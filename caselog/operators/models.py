@@ -338,11 +338,12 @@ def fit_classifier(method: str, train: DataFrame, size: int, n: int, options: di
         stages = [forest]
     elif method in ("logit", "svm"):
         c = float(o.pop("C", 1.0))
-        scaler = UnitScaler("features", "_scaled").fit(train)
+        # not centred, so sparse vectors stay sparse: the intercept takes up the means, and the kernel knows differences only
+        scaler = UnitScaler("features", "_scaled", centre=False).fit(train)
         if method == "logit":
             model = C.LogisticRegression(
                 featuresCol="_scaled", labelCol="label_index", weightCol="weight", probabilityCol="_probability", predictionCol="_prediction",
-                rawPredictionCol="_raw", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=o.pop("max_iter", 100))
+                rawPredictionCol="_raw", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=o.pop("max_iter", 100), tol=o.pop("tol", 1e-6))
             stages = [scaler, model]
         else:
             mapped = FourierFeatures("_scaled", "_mapped", size, o.pop("n_components", 256), o.pop("gamma", None), seed)
@@ -359,15 +360,15 @@ def fit_classifier(method: str, train: DataFrame, size: int, n: int, options: di
 
 
 class UnitScaler(Estimator):
-    """Mean 0 and population deviation 1; constant columns become 0."""
+    """Mean 0 (unless ``centre`` is False) and population deviation 1; constant columns become 0."""
 
-    def __init__(self, inputCol: str, outputCol: str):
+    def __init__(self, inputCol: str, outputCol: str, centre: bool = True):
         super().__init__()
-        self.inputCol, self.outputCol = inputCol, outputCol
+        self.inputCol, self.outputCol, self.centre = inputCol, outputCol, centre
 
     def _fit(self, df: DataFrame) -> PipelineModel:
         n = df.count()
-        base = MF.StandardScaler(withMean=True, withStd=True, inputCol=self.inputCol, outputCol="_sample_scaled").fit(df)
+        base = MF.StandardScaler(withMean=self.centre, withStd=True, inputCol=self.inputCol, outputCol="_sample_scaled").fit(df)
         # the library divides by the sample deviation
         factor = (n / (n - 1.0)) ** 0.5 if n > 1 else 1.0
         from pyspark.ml.linalg import Vectors

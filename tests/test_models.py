@@ -174,3 +174,24 @@ def test_saved_models_score_as_before(spark, log, tmp_path, method, options, tex
     again = load_model(spark.newSession(), str(tmp_path / "m"))
     key = lambda m: {r["case_id"]: [round(x, 12) for x in r["p"]] for r in m.predict_proba(log).collect()}
     assert again.spec == SPEC and again.vectorizer.names == model.vectorizer.names and key(again) == key(model)
+
+
+def test_scaling_keeps_vectors_sparse_and_scores_equal(spark, log):
+    from pyspark.ml import classification as C
+    from pyspark.ml.functions import vector_to_array
+
+    from caselog.operators import models as M
+
+    data, codes = X.training_data(log, SPEC)
+    vectorizer = M.PrefixVectorizer(SPEC, 2).fit_prepared(data, codes)
+    train = vectorizer.transform_prepared(data).select("case_id", "features", F.col("label").cast("double").alias("label_index"), F.lit(1.0).alias("weight"))
+    size, n = len(vectorizer.names), train.count()
+    fitted = M.fit_classifier("logit", train, size, n, {"max_iter": 500, "tol": 1e-12})
+    scaled = M.UnitScaler("features", "s", centre=False).fit(train).transform(train)
+    first = scaled.select("features", "s").first()
+    assert (first["s"].toArray() != 0).sum() <= (first["features"].toArray() != 0).sum()
+    centred = M.UnitScaler("features", "_scaled").fit(train).transform(train)
+    other = C.LogisticRegression(featuresCol="_scaled", labelCol="label_index", weightCol="weight", regParam=1.0 / n, standardization=False, maxIter=500, tol=1e-12).fit(centred)
+    key = lambda df, c: {r["case_id"]: r["p"] for r in df.select("case_id", vector_to_array(c)[1].alias("p")).collect()}
+    a, b = key(fitted.transform(train), "_probability"), key(other.transform(centred), "probability")
+    assert a.keys() == b.keys() and max(abs(a[c] - b[c]) for c in a) < 1e-6
