@@ -24,7 +24,8 @@ def components(edges: DataFrame, space: Workspace, most_rounds: int = 64) -> Dat
         large = now.withColumnRenamed("lo", "u").join(least, "u").select(F.col("m").alias("lo"), "hi").filter("lo <> hi").distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.col("m").alias("lo"), F.explode(F.array("hi", "lo")).alias("hi")).filter("lo <> hi").distinct()
-        now = space.table(small, "edges")
+        spent, now = now, space.table(small, "edges")
+        space.drop(spent)
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("lo", "hi")), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if state == before:
             break

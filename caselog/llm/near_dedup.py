@@ -244,10 +244,16 @@ class _Search:
 
     def __init__(self, given: DataFrame, space: Workspace, percent: int, words: int, k: int, wide: int, block: int):
         self.given, self.space, self.percent, self.words, self.k, self.wide, self.block = given, space, percent, words, k, wide, block
+        self.spent: list[DataFrame] = []  # tables that nothing reads once the present step is written
+
+    def clear(self) -> None:
+        while self.spent:
+            self.space.drop(self.spent.pop())
 
     def texts_of(self, sids: DataFrame) -> DataFrame:
         """(sid, text): one document of each class."""
         ids = self.space.table(self.reps.join(sids, "sid", "left_semi").select("sid", "row"), "ids")
+        self.spent.append(ids)
         # texts whose hash falls in no wanted bin stay where they are; at most 2^20 bins are broadcast
         bin_ = F.pmod(F.xxhash64("row"), F.lit(1 << 20)).cast("int")
         wanted = ids.select(bin_.alias("bin")).distinct()
@@ -271,10 +277,12 @@ class _Search:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         written = self.space.table(pairs, "pairs")
+        self.clear()
         texts = self.texts_of(written.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
         sets = self.space.table(texts.mapInArrow(_sets_of(self.words), "sid binary, set array<long>"), "sets")
         found = self.space.table(_verified(written, sets, self.percent), "links")
-        self.space.drop(sets)
+        self.spent += [sets, written]
+        self.clear()
         return found
 
     def pivot_pairs(self, shared: DataFrame) -> DataFrame:
@@ -284,6 +292,7 @@ class _Search:
         pairs = shared.join(pivots, "value").filter("sid <> pivot").filter(100 * F.least("n", "pivot_n") >= self.percent * F.greatest("n", "pivot_n"))
         pairs = pairs.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
         named = self.space.table(self.reps.join(shared.select("sid").distinct(), "sid", "left_semi").select("sid", "sketch"), "sketches")
+        self.spent.append(named)
         for side in ("a", "b"):
             pairs = pairs.join(named.select(F.col("sid").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
         return pairs.filter(_estimate(self.k) >= least_overlap(self.k, self.percent) / self.k).select("a", "b")
@@ -299,6 +308,7 @@ class _Search:
         left = self.space.table(here.join(open_, "value"), "left")
         texts = self.texts_of(left.select("sid").distinct())
         signatures = self.space.table(texts.mapInArrow(_signatures(self.wide, self.words), "sid binary, n long, low array<int>"), "signatures")
+        self.spent += [left, signatures]
         lists_of = left.groupBy("sid").agg(F.array_sort(F.collect_list("value")).alias("mine"))  # no more than a class is listed under
         cut = left.withColumn("blocks", F.ceil(F.col("members") / self.block).cast("int"))
         cut = cut.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
