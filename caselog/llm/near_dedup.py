@@ -321,15 +321,22 @@ class _Search:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int = 5,
                     k: int = SKETCH, wide: int = WIDE, block: int = BLOCK) -> DataFrame:
-    """(id, text_hash, n_shingles, component_id, first, kept) per row of ``docs``.
+    """(id, n_shingles, component_id, kept) per row of ``docs``.
 
     Two documents are linked when their shingle sets have a Jaccard similarity of at least percent/100; component_id
     is the smallest id reachable over links, kept marks that id's row. A text with fewer than ``words`` words is one
     shingle. Null, empty and blank texts have no shingles and are linked with nothing: they are their own component.
     Rows that repeat an id are separate rows, each with the component of its own text; a null id has the component's
-    smallest id, and is kept only when it stands alone. ``first`` marks the rows of one id and text in each component (the smallest id,
-    null ids last, then the smallest hash of the text) and every row without words. Other columns are ignored, whatever their names.
+    smallest id, and is kept only when it stands alone. Other columns are ignored, whatever their names.
     """
+    found = in_components(docs, id_col, text_col, percent, words, k, wide, block)
+    return found.select(id_col, "n_shingles", "component_id", "kept")
+
+
+def in_components(docs: DataFrame, id_col: str, text_col: str, percent: int = 75, words: int = 5, k: int = SKETCH, wide: int = WIDE,
+                  block: int = BLOCK) -> DataFrame:
+    """``near_duplicates`` with a hash of the text and ``first``: it marks the rows of one id and text in each component (the smallest id,
+    null ids last, then the smallest hash) and every row without words."""
     with Workspace(docs.sparkSession) as space:
         # a row is known by its id and a hash of its text; rows equal in both have one set
         given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.struct(F.col("id").alias("i"), F.xxhash64("text").alias("h")))
@@ -362,7 +369,7 @@ def keep_one_of_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows that repeat an id and a text are copies as well and one of them stays. Rows without words are no copies and all stay.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
+    found = in_components(docs, id_col, text_col, **options)
     key = [F.col(id_col).cast("long").alias("i"), F.col("text_hash").alias("h")]
     counted = found.filter("n_shingles > 0").groupBy(F.struct(*key).alias("_nd_key")).agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n"))
     counted = durable(counted.filter("not first or n > 1"))

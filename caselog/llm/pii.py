@@ -205,12 +205,18 @@ def disclosures(held: DataFrame, docs: DataFrame, text_col: str, support: int, g
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT,
                        generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(id, text_hash, base, spans) for each row of ``docs``: arrays of (start, kind, end), code points, end exclusive.
+    """(id, base, spans) for each row of ``docs``: arrays of (start, kind, end), code points, end exclusive.
 
     ``kind`` indexes KINDS; ``base`` has the patterns' spans, ``spans`` also the words to generalise or remove; both by
     start, then kind. Null and empty texts have none. Rows of one id and text share the answer; each counts as a document.
     Other columns are ignored. Null ids are allowed.
     """
+    return marked_texts(docs, id_col, text_col, support, generalise, remove).select(id_col, "base", "spans")
+
+
+def marked_texts(docs: DataFrame, id_col: str, text_col: str, support: int = SUPPORT, generalise: float = GENERALISE,
+                 remove: float = REMOVE) -> DataFrame:
+    """``find_personal_data`` with a hash of each text: rows of one id may differ in it."""
     key = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     schema = f"id long, h long, base {_SPANS_TYPE}, entities array<struct<e:long,k:long>>, words array<long>, starts array<int>, ends array<int>"
     with Workspace(docs.sparkSession) as space:
@@ -240,7 +246,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     One row for each row of ``docs``, in its columns: spans belong to an id and a text, so rows that share an id but not the text keep
     their own, and repeated rows stay. Null ids are allowed, names of columns are free.
     """
-    found = find_personal_data(docs, id_col, text_col, **options).select(
+    found = marked_texts(docs, id_col, text_col, **options).select(
         F.struct(F.col(id_col).alias("i"), F.col("text_hash").alias("h")).alias("_pd_key"), F.col("spans").alias("_pd_spans")).dropDuplicates(["_pd_key"])
 
     @F.arrow_udf("string")
