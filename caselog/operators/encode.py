@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from caselog.functions.scalars import or_missing
 from caselog.operators.events import first_known
+from caselog.operators.features import small_table
 from caselog.operators.ranks import row_number_by_slice
 
 # Keyword groups for rare categories, tried in this order.
@@ -51,16 +52,28 @@ class RareCategories:
     """Values below a share of the training cases are grouped by keyword."""
 
     def __init__(self, column: str, threshold: float = RARE_SHARE, groups=None, other: str = RARE_OTHER):
+        if not 0 < threshold <= 1:  # at most 1/threshold values reach it
+            raise ValueError(f"a threshold lies above 0 and up to 1, not {threshold}")
         self.column, self.threshold, self.groups, self.other = column, threshold, groups, other
+        self.table: DataFrame | None = None
         self.mapping: DataFrame | None = None
         self.frequent: list[str] | None = None
 
+    @classmethod
+    def of(cls, column: str, table: DataFrame, threshold: float = RARE_SHARE) -> "RareCategories":
+        """The fitted grouping that ``table`` holds: (value, replacement), null for a frequent value."""
+        out = cls(column, threshold)
+        out._hold(table)
+        return out
+
+    def _hold(self, table: DataFrame) -> None:
+        self.table, self.mapping = table, table.filter("replacement is not null")
+        self.frequent = [r[0] for r in small_table(table.filter("replacement is null").select("value"), int(1 / self.threshold) + 1)]
+
     def fit(self, log: DataFrame, case: str, nr: str) -> "RareCategories":
         shares = category_shares(log, case, nr, self.column).filter(F.col("value").isNotNull())
-        self.mapping = shares.filter(F.col("share") < self.threshold).select(
-            "value", rare_group(F.col("value"), self.groups, self.other).alias("replacement"))
-        # At most 1/threshold values can reach the threshold.
-        self.frequent = [r[0] for r in shares.filter(F.col("share") >= self.threshold).select("value").collect()]
+        rare = F.when(F.col("share") < self.threshold, rare_group(F.col("value"), self.groups, self.other))
+        self._hold(shares.select("value", rare.alias("replacement")))
         return self
 
     def transform(self, log: DataFrame, spread: str) -> DataFrame:

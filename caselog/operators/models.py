@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from caselog.functions import text as T
 from caselog.functions.scalars import sparse_vector
-from caselog.operators import features, text
-from caselog.operators.clean import ordinal_table
+from caselog.operators import encoders, features, text
+from caselog.operators.encode import RARE_SHARE
 from caselog.operators.events import with_case_value
 from caselog.operators.prefixes import PrefixSlicer, Selection, case_rows, select_features
 from caselog.operators.ranks import lookup_skewed
@@ -35,7 +36,13 @@ MOST_CLASSES = 10_000  # classes a model may have; more raise
 
 @dataclass(frozen=True)
 class LogSpec:
-    """Roles of the log's columns and the encoding options."""
+    """Roles of the log's columns and the encoding options.
+
+    ``encoding_method``: "onehot" names each category of each event, "ordinal" gives its code among the training log's values (1 on; 0 for
+    absent, null and unseen), "label" encodes no events. ``last_state_cols`` add their value at the last event of the prefix in each
+    method (text: a name with "onehot", else a code). Values of ``rare_cols`` in under ``rare_share`` of the training cases are grouped
+    by keyword first. ``text_cols`` name several text columns, each with a fitted block of its own; ``text_col`` names one.
+    """
 
     case: str = "case_id"
     nr: str = "event_nr"
@@ -46,6 +53,11 @@ class LogSpec:
     cat_cols: tuple[str, ...] = ()
     event_col: str | None = None
     text_col: str | None = None
+    text_cols: tuple[str, ...] = ()
+    encoding_method: str = "onehot"
+    last_state_cols: tuple[str, ...] = ()
+    rare_cols: tuple[str, ...] = ()
+    rare_share: float = RARE_SHARE
     min_share: float = features.MIN_SHARE
     keep_short: bool = False
     whole_case: bool = False
@@ -53,6 +65,11 @@ class LogSpec:
     minority_label: object = None
     seed: int = 22
 
+    @property
+    def texts(self) -> tuple[str, ...]:
+        """The text columns: ``text_col`` if given, then ``text_cols``, each once."""
+        return tuple(dict.fromkeys([*([self.text_col] if self.text_col else []), *self.text_cols]))
+
 
 # --- a log as case rows, made once for the largest prefix ------------------------------------------------------------
 
@@ -71,19 +88,9 @@ class PreparedLog:
         return self.rows if spec.keep_short else self.rows.filter(F.col(spec.length) >= k)
 
 
-def string_columns(log: DataFrame, columns) -> list[str]:
-    kinds = dict(log.dtypes)
-    return [c for c in columns if kinds[c] == "string"]
-
-
-def fit_static_codes(log: DataFrame, spec: LogSpec) -> dict[str, DataFrame]:
-    """Ordinal codes of static text columns, from the training log; kept, since every scoring reads them."""
-    return {c: durable(ordinal_table(log, c)) for c in string_columns(log, spec.static_cols)}
-
-
 def prepare(log: DataFrame, spec: LogSpec, k_max: int, codes: dict[str, DataFrame], keep: bool = True) -> PreparedLog:
     """Encode once at the largest prefix; every smaller prefix is a slice of the case rows."""
-    rows = case_rows(log, spec, k_max, [codes])
+    rows = case_rows(encoders.encode_events(log, spec, codes), spec, k_max, [codes])
     if keep:
         rows = durable(rows)
     return PreparedLog(rows, with_length(log, spec), k_max)
@@ -91,7 +98,7 @@ def prepare(log: DataFrame, spec: LogSpec, k_max: int, codes: dict[str, DataFram
 
 def with_length(log: DataFrame, spec: LogSpec) -> DataFrame:
     """The log with its case lengths, where texts need them."""
-    if spec.text_col and spec.length not in log.columns:
+    if spec.texts and spec.length not in log.columns:
         return with_case_value(log, spec.case, log.groupBy(spec.case).agg(F.max(spec.nr).cast("int").alias(spec.length)))
     return log
 
@@ -99,17 +106,17 @@ def with_length(log: DataFrame, spec: LogSpec) -> DataFrame:
 # --- text blocks: cells (case, feature, number) ----------------------------------------------------------------------
 
 
-def last_texts(log: DataFrame, spec: LogSpec, k: int) -> DataFrame:
+def last_texts(log: DataFrame, spec: LogSpec, k: int, column: str) -> DataFrame:
     """Text of the last event within prefix k, one row per case."""
     at = F.least(F.lit(k), F.col(spec.length))
-    return log.filter(F.col(spec.nr) == at).select(spec.case, spec.label, F.coalesce(F.col(spec.text_col), F.lit("")).alias("text"))
+    return log.filter(F.col(spec.nr) == at).select(spec.case, spec.label, F.coalesce(F.col(column), F.lit("")).alias("text"))
 
 
-def event_texts(log: DataFrame, spec: LogSpec, k: int) -> DataFrame:
+def event_texts(log: DataFrame, spec: LogSpec, k: int, column: str) -> DataFrame:
     """One document per (case, event up to k)."""
     return log.filter(F.col(spec.nr) <= k).select(
         spec.case, F.col(spec.nr).alias("event"), F.concat_ws("/", F.col(spec.case).cast("string"), F.col(spec.nr).cast("string")).alias("doc"),
-        F.coalesce(F.col(spec.text_col), F.lit("")).alias("text"))
+        F.coalesce(F.col(column), F.lit("")).alias("text"))
 
 
 def block_cells(blocks: DataFrame, spec: LogSpec, prefix: str) -> DataFrame:
@@ -199,12 +206,12 @@ TEXT_METHODS = {
 
 
 class TextBlock:
-    """Text cells of a prefix by one of the four methods."""
+    """Text cells of a prefix by one of the four methods, from one text column with a vocabulary of its own."""
 
-    def __init__(self, method: str | None, spec: LogSpec, k: int, options: dict | None = None):
+    def __init__(self, method: str | None, spec: LogSpec, k: int, options: dict | None = None, column: str | None = None):
         if method not in TEXT_METHODS:
             raise ValueError(f"unknown text method {method!r}")
-        self.method, self.spec, self.k = TEXT_METHODS[method], spec, k
+        self.method, self.spec, self.k, self.column = TEXT_METHODS[method], spec, k, column if column is not None else spec.texts[0]
         options = dict(options or {})
         if self.method in ("bong", "nb"):
             options.setdefault("nr_selected", 100)
@@ -218,7 +225,7 @@ class TextBlock:
     def fit(self, log: DataFrame) -> list[str]:
         """Fit and return the feature names."""
         if self.method in ("bong", "nb"):
-            docs = last_texts(log, self.spec, self.k)
+            docs = last_texts(log, self.spec, self.k, self.column)
             self.worker.fit(docs if self.spec.keep_short else docs.join(self._long_enough(log), self.spec.case, "left_semi"))
             if self.method == "bong" and self.worker.use_tfidf:
                 self.worker.frequencies = durable(self.worker.frequencies)
@@ -226,23 +233,28 @@ class TextBlock:
             self.worker.selected = durable(self.worker.selected)
             # nr_selected rows; "all" is for vocabularies a model can hold
             return [self._name(r["term"]) for r in self.worker.selected.select("term").orderBy("term").collect()]
-        docs = event_texts(log, self.spec, self.k)
+        docs = event_texts(log, self.spec, self.k, self.column)
         self.worker.fit(docs)
-        n, stem = (self.worker.num_topics, "topic") if self.method == "lda" else (self.worker.size, "pv")
-        return [f"{stem}{i + 1}_event{e}" for e in range(1, self.k + 1) for i in range(n)]
+        n = self.worker.num_topics if self.method == "lda" else self.worker.size
+        return [f"{self._stem()}{i + 1}_event{e}" for e in range(1, self.k + 1) for i in range(n)]
 
     def _long_enough(self, log: DataFrame) -> DataFrame:
         return log.filter(F.col(self.spec.nr) == self.k).select(self.spec.case)
 
     def _name(self, term: str) -> str:
-        return f"{self.spec.text_col}={term}"
+        return f"{self.column}={term}"
+
+    def _stem(self) -> str:
+        """Of topic and vector features: with the column's name where there are several."""
+        stem = "topic" if self.method == "lda" else "pv"
+        return stem if len(self.spec.texts) == 1 else f"{self.column}_{stem}"
 
     def cells(self, log: DataFrame) -> DataFrame:
         """(case, feature, number)"""
         if self.method in ("bong", "nb"):
-            weights = self.worker.transform(last_texts(log, self.spec, self.k))
-            return weights.select(self.spec.case, F.concat(F.lit(f"{self.spec.text_col}="), "term").alias("feature"), F.col("weight").alias("number"))
-        return block_cells(self.worker.transform(event_texts(log, self.spec, self.k)), self.spec, "topic" if self.method == "lda" else "pv")
+            weights = self.worker.transform(last_texts(log, self.spec, self.k, self.column))
+            return weights.select(self.spec.case, F.concat(F.lit(f"{self.column}="), "term").alias("feature"), F.col("weight").alias("number"))
+        return block_cells(self.worker.transform(event_texts(log, self.spec, self.k, self.column)), self.spec, self._stem())
 
 
 # --- one vector per case ---------------------------------------------------------------------------------------------
@@ -256,31 +268,33 @@ class PrefixVectorizer(Estimator):
         self.spec, self.k, self.text_method, self.text_options = spec, k, text_method, text_options
 
     def _fit(self, log: DataFrame) -> "PrefixVectorizerModel":
-        codes = fit_static_codes(log, self.spec)
+        codes = encoders.fit_codes(log, self.spec)
         return self.fit_prepared(prepare(log, self.spec, self.k, codes), codes)
 
     def fit_prepared(self, data: PreparedLog, codes: dict[str, DataFrame]) -> "PrefixVectorizerModel":
         spec, k = self.spec, self.k
         chosen = data.selection or select_features(data.rows, spec, data.k_max)[0]
-        block, texts = None, []
-        if spec.text_col and TEXT_METHODS[self.text_method]:
-            block = TextBlock(self.text_method, spec, k, self.text_options)
-            texts = block.fit(data.log)
-        return PrefixVectorizerModel(spec, k, chosen.categories.get(k, []), chosen.numbers.get(k, []), block, texts, codes)
+        blocks, texts = [], []
+        if TEXT_METHODS[self.text_method]:
+            for column in spec.texts:
+                blocks.append(TextBlock(self.text_method, spec, k, self.text_options, column))
+                texts += blocks[-1].fit(data.log)
+        return PrefixVectorizerModel(spec, k, chosen.categories.get(k, []), chosen.numbers.get(k, []), blocks, texts, codes, chosen.lasts.get(k, []))
 
 
 class PrefixVectorizerModel(Model):
-    def __init__(self, spec: LogSpec, k: int, categories: list[str], numbers: list[int], block: TextBlock | None, texts: list[str],
-                 codes: dict[str, DataFrame]):
+    def __init__(self, spec: LogSpec, k: int, categories: list[str], numbers: list[int], blocks: list[TextBlock], texts: list[str],
+                 codes: dict[str, DataFrame], lasts: list[int] = ()):
         super().__init__()
-        self.spec, self.k, self.categories, self.numbers, self.block, self.texts, self.codes = spec, k, categories, numbers, block, texts, codes
+        self.spec, self.k, self.categories, self.numbers, self.lasts = spec, k, categories, numbers, list(lasts)
+        self.blocks, self.texts, self.codes = blocks, texts, codes
 
     @property
     def names(self) -> list[str]:
         return [*self.slicer(0).feature_names(), *self.texts]
 
     def slicer(self, variant: int) -> PrefixSlicer:
-        return PrefixSlicer(self.spec, self.k, self.categories, self.numbers, variant, extra=("_text",) if self.block is not None else ())
+        return PrefixSlicer(self.spec, self.k, self.categories, self.numbers, variant, extra=("_text",) if self.blocks else (), lasts=self.lasts)
 
     def _transform(self, log: DataFrame) -> DataFrame:
         return self.transform_prepared(prepare(log, self.spec, self.k, self.codes, keep=False))
@@ -288,10 +302,18 @@ class PrefixVectorizerModel(Model):
     def transform_prepared(self, data: PreparedLog) -> DataFrame:
         spec = self.spec
         rows = data.reached(spec, self.k)
-        if self.block is not None:
-            rows = features.vectors(rows, self.block.cells(data.log), spec.case, self.texts, out="_text")
+        if self.blocks:
+            cells = reduce(DataFrame.unionByName, [b.cells(data.log) for b in self.blocks])  # side by side: names carry their column
+            rows = features.vectors(rows, cells, spec.case, self.texts, out="_text")
         return self.slicer(data.variant).transform(rows).select(spec.case, spec.label, spec.length, "features")
 
+    def cells(self, log: DataFrame) -> DataFrame:
+        """(case, feature, number): the non-zero entries of each case's vector under their names."""
+        rows = self.transform(log)
+        names = rows.sparkSession.createDataFrame(list(enumerate(self.names)), "_i int, feature string")  # the fitted list
+        entries = rows.select(self.spec.case, F.posexplode(vector_to_array("features")).alias("_i", "number")).filter("number <> 0")
+        return entries.join(F.broadcast(names), "_i").select(self.spec.case, "feature", "number")
+
 
 # --- classifiers -----------------------------------------------------------------------------------------------------
 
@@ -394,7 +416,7 @@ class OutcomeModel:
     timings: dict = field(default_factory=dict)
 
     def fit(self, log: DataFrame) -> "OutcomeModel":
-        codes = fit_static_codes(log, self.spec)
+        codes = encoders.fit_codes(log, self.spec)
         return self.fit_prepared(prepare(log, self.spec, self.nr_events, codes), codes)
 
     def fit_prepared(self, data: PreparedLog, codes: dict[str, DataFrame]) -> "OutcomeModel":
@@ -403,7 +425,7 @@ class OutcomeModel:
         if data.selection is None:
             data = replace(data, selection=select_features(data.rows, spec, data.k_max)[0])
         if data.selection.cases(self.nr_events) == 0:  # nothing to learn: every later score is an empty table
-            self.vectorizer, self.classifier, self.classes = PrefixVectorizerModel(spec, self.nr_events, [], [], None, [], codes), None, []
+            self.vectorizer, self.classifier, self.classes = PrefixVectorizerModel(spec, self.nr_events, [], [], [], [], codes), None, []
             self.timings.update(train_preproc_time=time.time() - start, train_cls_time=0.0)
             return self
         estimator = PrefixVectorizer(spec, self.nr_events, self.text_method, self.text_options)

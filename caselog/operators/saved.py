@@ -31,18 +31,7 @@ def save_model(model: OutcomeModel, spark: SparkSession, path: str) -> None:
     v = model.vectorizer
     for column, table in v.codes.items():
         table.write.parquet(f"{path}/codes/{column}")
-    facts, tables, learned = {}, [], None
-    if v.block is not None:
-        worker = v.block.worker
-        for name in TABLES:
-            value = getattr(worker, name, None)
-            if isinstance(value, DataFrame):
-                value.write.parquet(f"{path}/text/{name}")
-                tables.append(name)
-        facts = {f: getattr(worker, f) for f in FACTS if isinstance(getattr(worker, f, None), int)}
-        if getattr(worker, "model", None) is not None:
-            learned = "vectors" if isinstance(worker, WordVectors) else "topics"
-            worker.model.save(f"{path}/text/model")
+    blocks = [_save_block(b, f"{path}/text/{i}") for i, b in enumerate(v.blocks)]
     stages = []
     for i, stage in enumerate(model.classifier.stages if model.classifier is not None else []):
         if isinstance(stage, FourierFeatures):
@@ -54,7 +43,32 @@ def save_model(model: OutcomeModel, spark: SparkSession, path: str) -> None:
     _write_json(spark, f"{path}/about", {
         "nr_events": model.nr_events, "spec": asdict(model.spec), "cls_method": model.cls_method, "cls_options": model.cls_options, "text_method": model.text_method,
         "text_options": model.text_options, "classes": model.classes, "fitted": model.classifier is not None, "categories": v.categories, "numbers": v.numbers,
-        "texts": v.texts, "codes": list(v.codes), "facts": facts, "tables": tables, "learned": learned, "stages": stages})
+        "lasts": v.lasts, "texts": v.texts, "codes": list(v.codes), "blocks": blocks, "stages": stages})
+
+
+def _save_block(block: TextBlock, path: str) -> dict:
+    worker, tables, learned = block.worker, [], None
+    for name in TABLES:
+        value = getattr(worker, name, None)
+        if isinstance(value, DataFrame):
+            value.write.parquet(f"{path}/{name}")
+            tables.append(name)
+    if getattr(worker, "model", None) is not None:
+        learned = "vectors" if isinstance(worker, WordVectors) else "topics"
+        worker.model.save(f"{path}/model")
+    facts = {f: getattr(worker, f) for f in FACTS if isinstance(getattr(worker, f, None), int)}
+    return {"column": block.column, "facts": facts, "tables": tables, "learned": learned}
+
+
+def _load_block(spark: SparkSession, path: str, held: dict, model: OutcomeModel) -> TextBlock:
+    block = TextBlock(model.text_method, model.spec, model.nr_events, model.text_options, held["column"])
+    for name in held["tables"]:
+        setattr(block.worker, name, spark.read.parquet(f"{path}/{name}"))
+    for name, value in held["facts"].items():
+        setattr(block.worker, name, value)
+    if held["learned"]:
+        block.worker.model = (Word2VecModel if held["learned"] == "vectors" else LocalLDAModel).load(f"{path}/model")
+    return block
 
 
 def load_model(spark: SparkSession, path: str) -> OutcomeModel:
@@ -62,17 +76,9 @@ def load_model(spark: SparkSession, path: str) -> OutcomeModel:
     about = _read_json(spark, f"{path}/about")
     spec = LogSpec(**{k: tuple(x) if isinstance(x, list) else x for k, x in about["spec"].items()})
     model = OutcomeModel(about["nr_events"], spec, about["cls_method"], about["cls_options"], about["text_method"], about["text_options"])
-    block = None
-    if about["tables"] or about["learned"]:
-        block = TextBlock(about["text_method"], spec, about["nr_events"], about["text_options"])
-        for name in about["tables"]:
-            setattr(block.worker, name, spark.read.parquet(f"{path}/text/{name}"))
-        for name, value in about["facts"].items():
-            setattr(block.worker, name, value)
-        if about["learned"]:
-            block.worker.model = (Word2VecModel if about["learned"] == "vectors" else LocalLDAModel).load(f"{path}/text/model")
+    blocks = [_load_block(spark, f"{path}/text/{i}", held, model) for i, held in enumerate(about["blocks"])]
     codes = {c: spark.read.parquet(f"{path}/codes/{c}") for c in about["codes"]}
-    model.vectorizer = PrefixVectorizerModel(spec, about["nr_events"], about["categories"], about["numbers"], block, about["texts"], codes)
+    model.vectorizer = PrefixVectorizerModel(spec, about["nr_events"], about["categories"], about["numbers"], blocks, about["texts"], codes, about["lasts"])
     model.classes = about["classes"]
     if about["fitted"]:
         stages = [FourierFeatures(**s) if s else PipelineModel.load(f"{path}/stages/{i}").stages[0] for i, s in enumerate(about["stages"])]

@@ -33,7 +33,7 @@ def query(name: str, covers: str, sql: str | None = None):
 
 
 def load_all() -> dict[str, Entry]:
-    from caselog.plans import (encode_queries, event_queries, metric_queries, model_check_queries, model_queries, monitor_queries, row_queries, source_queries,  # noqa: F401
+    from caselog.plans import (encode_queries, encoder_queries, event_queries, metric_queries, model_check_queries, model_queries, monitor_queries, row_queries, source_queries,  # noqa: F401
                                split_queries, stream_queries, text_queries, tune_queries)
 
     return ENTRIES
