@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caselog.functions import scalars as S
 from caselog.functions.hashing import hash_pick
-from caselog.operators.ranks import contiguous_ids, lookup_skewed, row_number_by_slice
+from caselog.operators.ranks import lookup_skewed, rank_by_range
 
 
 def clean_log(
@@ -68,14 +68,10 @@ def finite_table(df: DataFrame) -> DataFrame:
 def ordinal_table(df: DataFrame, column: str) -> DataFrame:
     """0-based rank of each distinct value in sorted order.
 
-    Ranked slice by slice (leading characters, or the range of a number), so
-    a column with very many values is not sorted in one task.
+    Ranked by sampled ranges, so a column with very many values is not sorted in one task.
     """
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    if dict(df.dtypes)[column] == "string":
-        ranked = row_number_by_slice(values, [], [F.col(column)], F.substring(column, 1, 2), "code")
-    else:
-        ranked = contiguous_ids(values, column, "code")
+    ranked = rank_by_range(values, [F.col(column)], "code")
     return ranked.withColumn("code", F.col("code") - 1)
 
 

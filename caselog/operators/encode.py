@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from caselog.functions.scalars import or_missing
 from caselog.operators.events import first_known
 from caselog.operators.features import small_table
-from caselog.operators.ranks import row_number_by_slice
+from caselog.operators.ranks import rank_by_range
 
 # Keyword groups for rare categories, tried in this order.
 RARE_GROUPS = [
@@ -126,7 +126,7 @@ def all_cells(log, case, nr, k, event_col=None, cat_cols=(), dynamic_cols=()) ->
 def vocabulary(cells: DataFrame, nr: str) -> DataFrame:
     """Distinct (source, nr, value) of categorical cells, indexed in sorted order per (source, nr)."""
     seen = cells.groupBy("source", nr, "value").agg(F.count(F.lit(1)).alias("n_cells"), F.max("feature").alias("feature"))
-    indexed = row_number_by_slice(seen, ["source", nr], [F.col("value")], F.substring("value", 1, 2), "idx")
+    indexed = rank_by_range(seen, [F.col("value")], "idx", by=["source", nr])
     return indexed.withColumn("idx", F.col("idx") - 1)
 
 

@@ -32,6 +32,7 @@ from caselog.session import durable
 
 
 MOST_CLASSES = 10_000  # classes a model may have; more raise
+MOST_MODEL_BYTES = 512 << 20  # what a topic or word model may hold on the driver and in each task; more raise
 
 
 @dataclass(frozen=True)
@@ -126,14 +127,20 @@ def block_cells(blocks: DataFrame, spec: LogSpec, prefix: str) -> DataFrame:
     return cells.select(spec.case, name.alias("feature"), "number").filter("number <> 0")
 
 
+def refuse_wide(terms: int, bytes_a_term: int, most: int, what: str) -> None:
+    """Raise before a fit whose model would not fit; the vocabulary is never cut."""
+    if terms * bytes_a_term > most:
+        raise ValueError(f"{what} of {terms} terms at {bytes_a_term} bytes each is over {most} bytes: ask for a larger min count, fewer dimensions, or more model_bytes")
+
+
 class TopicModel:
-    """LDA topics per document; the vocabulary is a table of the whole corpus."""
+    """LDA topics per document; the vocabulary is a table of the whole corpus, refused before the fit when terms x topics pass ``model_bytes``."""
 
     def __init__(self, num_topics: int = 20, tfidf: bool = False, passes: int = 3, min_prob: float = 0.0, min_freq: int = 0,
-                 dictionary: DataFrame | None = None, random_seed: int = 22, subsampling: float = 0.2, key: str = "doc"):
+                 dictionary: DataFrame | None = None, random_seed: int = 22, subsampling: float = 0.2, key: str = "doc", model_bytes: int = MOST_MODEL_BYTES):
         self.num_topics, self.use_tfidf, self.passes, self.min_prob = num_topics, tfidf, passes, min_prob
         self.min_freq, self.dictionary, self.seed, self.subsampling, self.key = min_freq, dictionary, random_seed, subsampling, key
-        self.model = None
+        self.model_bytes, self.model = model_bytes, None
 
     def _cells(self, docs: DataFrame) -> DataFrame:
         return text.term_counts(docs, self.key, T.split_tokens("text"))
@@ -157,6 +164,7 @@ class TopicModel:
                 cells = text.keep_terms(cells, self.key, text.frequent_tokens(docs, T.split_tokens("text"), self.min_freq))
             self.dictionary = durable(text.sorted_vocabulary(cells))
         self.size = max(int(self.dictionary.count()), 1)
+        refuse_wide(self.size, 8 * self.num_topics, self.model_bytes, "a topic model")
         self.n_docs = docs.count()
         rounds = max(1, round(self.passes / self.subsampling))
         vectors = durable(self._vectors(docs))
@@ -175,18 +183,23 @@ class TopicModel:
 
 
 class WordVectors:
-    """Mean of word vectors per document (a skip-gram model, not paragraph vectors)."""
+    """Mean of word vectors per document (a skip-gram model, not paragraph vectors).
+
+    The library holds two float vectors per word; more than ``model_bytes`` of them are refused before the fit.
+    """
 
     def __init__(self, size: int = 16, window: int = 8, min_count: int = 1, alpha: float = 0.025, epochs: int = 1,
-                 random_seed: int = 22, partitions: int | None = None, key: str = "doc"):
+                 random_seed: int = 22, partitions: int | None = None, key: str = "doc", model_bytes: int = MOST_MODEL_BYTES):
         self.size, self.window, self.min_count, self.alpha, self.epochs = size, window, min_count, alpha, epochs
         self.seed, self.partitions, self.key = random_seed, partitions, key
-        self.model = None
+        self.model_bytes, self.model = model_bytes, None
 
     def fit(self, docs: DataFrame) -> "WordVectors":
         # One partition would train the whole corpus in one task.
         parts = self.partitions or docs.sparkSession.sparkContext.defaultParallelism
         tokens = durable(docs.select(T.split_tokens("text", lower=False).alias("_tokens")))
+        words = tokens.select(F.explode("_tokens").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= self.min_count).count()
+        refuse_wide(words, 2 * 4 * self.size, self.model_bytes, "a word model")
         self.model = MF.Word2Vec(vectorSize=self.size, windowSize=self.window, minCount=self.min_count, stepSize=self.alpha,
                                  maxIter=self.epochs, seed=self.seed, numPartitions=parts, inputCol="_tokens", outputCol="_vector").fit(tokens)
         return self

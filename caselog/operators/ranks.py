@@ -5,7 +5,8 @@ table without groups would end on a single executor. Here the order is cut
 into slices by an expression that never decreases along it. Rows are ranked
 inside (group, slice); the start of each slice comes from a count per slice,
 a table of groups x slices rows. Slices are pure functions of the row, so
-a lost executor recomputes the same answer.
+a lost executor recomputes the same answer. Where the values themselves say
+no such expression, ranges are sampled and the sorted rows are kept.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselog.session import durable
+
 HOT_ROWS = 1_000_000
 
 
@@ -36,37 +39,38 @@ def row_number_by_slice(df: DataFrame, by: list[str], order: list[Column], slice
     )
 
 
-def span_slice(df: DataFrame, key: str, slices: int = 4096) -> tuple[DataFrame, Column]:
-    """Equal-width slices between the smallest and largest value of a numeric key.
+def in_ranges(df: DataFrame, order: list[Column], slices: int | None = None) -> DataFrame:
+    """The table sorted across its partitions, with ``_at``: the partition in the high bits, the place in it in the low 33.
 
-    Returns the table with its one-row range attached and the slice expression.
+    Spark samples the order for even ranges, whatever the type or spread of its values: a far outlier, a shared beginning and any
+    script make no difference. The rows are kept (``durable``), for the bounds of a second shuffle would be others. Rows that
+    agree in all of ``order`` share a range, so a value of many rows needs a tie column behind it.
     """
-    lo, hi = f"_lo_{key}", f"_hi_{key}"
-    span = df.agg(F.min(key).cast("double").alias(lo), F.max(key).cast("double").alias(hi))
-    wide = df.crossJoin(F.broadcast(span))  # one row
-    width = F.col(hi) - F.col(lo)
-    pos = F.when(width > 0, F.floor((F.col(key).cast("double") - F.col(lo)) / width * (slices - 1))).otherwise(0)
-    return wide, F.coalesce(pos, F.lit(-1)).cast("bigint")
+    spread = df.repartitionByRange(slices, *order) if slices else df.repartitionByRange(*order)
+    return durable(spread.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
 
 
-def contiguous_ids(df: DataFrame, key: str, out: str, tie: str | None = None, slices: int = 4096, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """1..N in the order of a numeric key, then of a numeric ``tie`` column.
+def rank_by_range(df: DataFrame, order: list[Column], out: str, by: list[str] = (), slices: int | None = None) -> DataFrame:
+    """``row_number() over (partition by by order by order)`` from one range shuffle: places in a range plus the sizes of the ranges before.
 
-    Slices run over the key's range. A key value held by more than hot_rows
-    rows gets a place of its own in its slice and is cut again along ``tie``.
+    For few groups: each must have its start in a table of its own.
     """
-    columns = df.columns
+    placed = in_ranges(df, [*(F.col(c) for c in by), *order], slices).withColumn("_part", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))  # one row per partition
+    place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    ranked = placed.join(F.broadcast(starts), "_part").withColumn(out, place.cast("bigint")).drop("_part", "_at", "_start")
+    if not by:
+        return ranked
+    keyed = ranked.withColumn("_g", F.struct(*by))  # struct keys also match null with null
+    firsts = keyed.groupBy("_g").agg(F.min(out).alias("_first"))
+    return keyed.join(firsts, "_g").withColumn(out, F.col(out) - F.col("_first") + 1).drop("_g", "_first")
+
+
+def contiguous_ids(df: DataFrame, key: str, out: str, tie: str | None = None, slices: int | None = None) -> DataFrame:
+    """1..N in the order of a key of any type, then of a ``tie`` column, along which a frequent value is cut."""
     order = [F.col(key)] + ([F.col(tie)] if tie else [])
-    wide, slice_ = span_slice(df, key, slices)
-    hot = hot_keys(df.select(key), key, hot_rows) if tie else None
-    if hot is not None:
-        values = [r[key] for r in hot.collect() if r[key] is not None]  # at most rows/hot_rows
-        wide, along = span_slice(wide, tie, slices)
-        is_hot = F.col(key).isin(values)
-        before = F.size(F.filter(F.array(*[F.lit(v) for v in values]), lambda v: v < F.col(key)))
-        place = F.coalesce(2 * before + is_hot.cast("int"), F.lit(-1))
-        slice_ = F.struct(slice_.alias("at"), place.alias("place"), F.when(is_hot, along).otherwise(0).alias("along"))
-    return row_number_by_slice(wide, [], order, slice_, out).select(*columns, out)
+    return rank_by_range(df, order, out, slices=slices).select(*df.columns, out)
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:

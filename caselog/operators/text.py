@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselog.functions import text as T
-from caselog.operators.ranks import lookup_skewed, row_number_by_slice
+from caselog.operators.ranks import lookup_skewed, rank_by_range
 
 
 def each_token(docs: DataFrame, keep: list[str], tokens: Column) -> DataFrame:
@@ -31,8 +31,8 @@ def document_frequencies(cells: DataFrame) -> DataFrame:
 
 
 def sorted_vocabulary(cells: DataFrame) -> DataFrame:
-    """(term, df, idx) with idx 0.. in term order, ranked slice by slice."""
-    ranked = row_number_by_slice(document_frequencies(cells), [], [F.col("term")], F.substring("term", 1, 2), "idx")
+    """(term, df, idx) with idx 0.. in term order, ranked by sampled ranges."""
+    ranked = rank_by_range(document_frequencies(cells), [F.col("term")], "idx")
     return ranked.withColumn("idx", F.col("idx") - 1)
 
 

@@ -195,3 +195,13 @@ def test_scaling_keeps_vectors_sparse_and_scores_equal(spark, log):
     key = lambda df, c: {r["case_id"]: r["p"] for r in df.select("case_id", vector_to_array(c)[1].alias("p")).collect()}
     a, b = key(fitted.transform(train), "_probability"), key(other.transform(centred), "probability")
     assert a.keys() == b.keys() and max(abs(a[c] - b[c]) for c in a) < 1e-6
+
+
+def test_vocabularies_beyond_the_bound_are_refused_before_the_fit(spark):
+    docs = spark.createDataFrame([(f"d{i}", f"word{i} word{i} common") for i in range(20)], "doc string, text string")
+    with pytest.raises(ValueError, match="21 terms"):
+        TopicModel(num_topics=4, model_bytes=21 * 4 * 8 - 1).fit(docs)
+    with pytest.raises(ValueError, match="21 terms"):
+        WordVectors(size=8, model_bytes=21 * 8 * 8 - 1).fit(docs)
+    assert TopicModel(num_topics=4, passes=1, model_bytes=21 * 4 * 8).fit(docs).transform(docs).count() == 20
+    assert WordVectors(size=8, min_count=20, model_bytes=64).fit(docs).transform(docs).count() == 20  # one word is that frequent

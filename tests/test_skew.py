@@ -51,16 +51,37 @@ def test_ranks_in_slices(skewed):
     assert same(got, skewed.withColumn("r", F.row_number().over(w).cast("bigint")), ["case_id", "id", "r"])
 
 
-@pytest.mark.parametrize("hot_rows", [100, 10_000])
-def test_contiguous_ids_with_a_hot_value(skewed, hot_rows):
+@pytest.mark.parametrize("slices", [None, 16])
+def test_contiguous_ids_with_a_hot_value(skewed, slices):
     # a third of the rows shares one key value
     rows = skewed.select(F.when(F.col("case_id") == "hot", F.lit(450)).otherwise(F.col("t")).alias("t"),
                          F.when(F.col("case_id") == "hot", F.col("id")).otherwise(F.col("id") + 10_000).alias("u"))
-    got = ranks.contiguous_ids(rows, "t", "n", "u", slices=16, hot_rows=hot_rows)
+    got = ranks.contiguous_ids(rows, "t", "n", "u", slices=slices)
     want = rows.withColumn("n", F.row_number().over(Window.orderBy("t", "u")).cast("bigint"))
     assert same(got, want, ["t", "u", "n"])
 
 
+@pytest.mark.parametrize("kind,key", [
+    ("one outlier", "if(id = 0, 1e300D, cast(id AS double))"), ("one stem", "concat('the same stem of every word ', lpad(id, 8, '0'))"),
+    ("one script", "concat('\u4e2d\u6587\u8a5e', cast(id AS string))"), ("dates", "date_add(DATE'1970-01-01', cast(id % 20000 AS int))"),
+    ("nulls and a third of one value", "if(id % 3 = 0, 'x', if(id % 97 = 0, null, cast(id AS string)))")])
+def test_ranges_are_even_and_ranks_exact(spark, kind, key):
+    rows = spark.range(0, 40_000, 1, 8).selectExpr("id", f"{key} as k")
+    order = [F.col("k"), F.col("id")]
+    sizes = [r["n"] for r in ranks.in_ranges(rows, order, 16).groupBy(F.shiftright("_at", 33)).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 40_000 and max(sizes) <= 3 * 40_000 / 16
+    got = ranks.rank_by_range(rows, order, "r", slices=16)
+    assert same(got, rows.withColumn("r", F.row_number().over(Window.orderBy(*order)).cast("bigint")), ["id", "r"])
+
+
+def test_ranks_by_range_within_groups(skewed):
+    rows = skewed.withColumn("g", F.when(F.col("id") % 5 > 0, F.col("id") % 5))  # a null group too
+    order = [F.col("t"), F.col("id"), F.col("case_id")]
+    got = ranks.rank_by_range(rows, order, "r", by=["g"], slices=7)
+    assert same(got, rows.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(*order)).cast("bigint")), ["case_id", "id", "r"])
+    assert ranks.rank_by_range(rows.limit(0), order, "r").count() == 0
+
+
 def test_numbering_with_struct_slices(skewed):
     order = [F.col("t"), F.col("id")]
     got = number_events(skewed, "case_id", order, F.struct("t", F.floor(F.col("id") / 7)), hot_rows=100)
