@@ -5,32 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselog.operators.ranks import in_ranges
 
-def roc_auc(df: DataFrame, score: str, positive: Column, by: list[str] = (), span: tuple[float, float] | None = None,
-            slices: int = 4096) -> DataFrame:
+
+def roc_auc(df: DataFrame, score: str, positive: Column, by: list[str] = (), slices: int | None = None) -> DataFrame:
     """Exact area under the ROC curve per group; null where only one class occurs.
 
-    Rows are first counted per distinct score. Scores are cut into slices of
-    equal width (over ``span``, or the range of the data), pairs are counted
-    inside each slice, and pairs across slices follow from the slice totals.
-    No task sees more than one slice.
+    Rows are first counted per distinct score. Scores are cut into sampled
+    ranges, so they may crowd anywhere; pairs are counted inside each range,
+    and pairs across ranges follow from the range totals. No task sees more
+    than one range.
     """
     both = F.col("p").cast("double") * F.col("n").cast("double")
-    return won_pairs(df, score, positive, by, span, slices).select(*by, F.try_divide(F.col("won"), both).alias("auc"))
+    return won_pairs(df, score, positive, by, slices).select(*by, F.try_divide(F.col("won"), both).alias("auc"))
 
 
-def won_pairs(df: DataFrame, score: str, positive: Column, by: list[str] = (), span: tuple[float, float] | None = None, slices: int = 4096) -> DataFrame:
+def won_pairs(df: DataFrame, score: str, positive: Column, by: list[str] = (), slices: int | None = None) -> DataFrame:
     """Per group: pairs of a positive and a negative row that the positive's score wins (ties by half), positives ``p``, negatives ``n``."""
     by = list(by)
     counts = df.groupBy(*by, score).agg(F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_n"))
-    if span is None:
-        ends = df.agg(F.min(score).cast("double").alias("_lo"), F.max(score).cast("double").alias("_hi"))
-        counts = counts.crossJoin(F.broadcast(ends))  # one row
-        lo, hi = F.col("_lo"), F.col("_hi")
-    else:
-        lo, hi = F.lit(float(span[0])), F.lit(float(span[1]))
-    place = F.floor((F.col(score).cast("double") - lo) / F.nullif(hi - lo, F.lit(0.0)) * (slices - 1))
-    sliced = counts.withColumn("_s", F.coalesce(place, F.lit(0)))
+    sliced = in_ranges(counts, [F.col(c) for c in (*by, score)], slices).withColumn("_s", F.shiftright("_at", 33))
 
     below = Window.partitionBy(*by, "_s").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     pairs = F.col("_p") * (F.coalesce(F.sum("_n").over(below), F.lit(0)) + F.col("_n") / 2.0)
@@ -137,7 +131,7 @@ def coverage_curve(df: DataFrame, label: str, p_pos: str, confidences: list[floa
     rows = _bands(df, label, p_pos, levels)
     said = F.when(F.col("p") > 1.0 - F.col("p"), 1).otherwise(0)
     counts = rows.groupBy("band").agg(F.count(F.lit(1)).alias("rows"), F.count("y").alias("known"), F.count_if(F.col("y") == said).alias("hits"))
-    bands = counts.join(won_pairs(rows.filter("band <> 0"), "p", F.col("y") == 1, ["band"], (0.0, 1.0)), "band", "left")  # a row per band
+    bands = counts.join(won_pairs(rows.filter("band <> 0"), "p", F.col("y") == 1, ["band"]), "band", "left")  # a row per band
     wide = _kept_bands(bands, levels, ["rows", "known", "hits", "won", "p", "n"])
     start = F.struct(F.lit(0.0).alias("won"), F.lit(0.0).alias("below"))
     pairs = F.aggregate("kept", start, lambda a, b: F.struct((a["won"] + b["won"] + b["p"] * a["below"]).alias("won"), (a["below"] + b["n"]).alias("below")))

@@ -21,14 +21,14 @@ def probabilities(spark, sf):
 with {PROB_SQL}, r as (select y, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2.0 as rk from prob)
 select round({AUC}, 9) as auc from r""")
 def auc_of_scores(spark, sf):
-    return metrics.roc_auc(probabilities(spark, sf), "p", F.col("y") == 1, span=(0.0, 1.0)).select(F.round("auc", 9).alias("auc"))
+    return metrics.roc_auc(probabilities(spark, sf), "p", F.col("y") == 1).select(F.round("auc", 9).alias("auc"))
 
 
 @query("auc_per_prefix", "ME-7", f"""
 with {PROB_SQL}, r as (select event_nr, y, rank() over (partition by event_nr order by p) + (count(*) over (partition by event_nr, p) - 1) / 2.0 as rk from prob)
 select cast(event_nr as integer) as event_nr, case when count(distinct y) > 1 then round({AUC}, 9) end as auc from r group by event_nr""")
 def auc_per_prefix(spark, sf):
-    return metrics.roc_auc(probabilities(spark, sf), "p", F.col("y") == 1, ["event_nr"], (0.0, 1.0)).withColumn("auc", F.round("auc", 9))
+    return metrics.roc_auc(probabilities(spark, sf), "p", F.col("y") == 1, ["event_nr"]).withColumn("auc", F.round("auc", 9))
 
 
 @query("auc_of_lengths", "ME-7", f"""
