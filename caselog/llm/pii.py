@@ -170,19 +170,19 @@ def _word_counts(batches: Batches) -> Batches:
 
 
 def held_units(found: DataFrame, support: int) -> DataFrame:
-    """(d, copies, terms, values, kinds, asked) of the documents with an entity.
+    """(d, copies, terms, values, kinds, asked, n) of the documents with an entity; ``n`` is a short name of ``d``, fixed once written.
 
     ``values`` are its values of at least ``support`` documents, ``kinds`` the kinds of all its values; ``asked`` are
     those of them whose words are marked: ``values``, and the kinds of its values that are too rare.
     """
-    held = found.filter(F.size("entities") > 0).groupBy(F.struct("id", "h").alias("d")).agg(
-        F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.array_distinct(F.first("words")).alias("terms"))
+    met = found.filter(F.size("entities") > 0).select(F.struct("id", "h").alias("d"), "entities", F.array_distinct("words").alias("terms"))
+    held = met.groupBy("d").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
     each = held.select("d", "copies", F.inline("entities"))
     known = each.groupBy("e").agg(F.sum("copies").alias("n")).filter(F.col("n") >= support).select("e", F.lit(True).alias("known"))
     units = each.join(known, "e", "left").groupBy("d").agg(
         F.collect_set(F.when(F.col("known"), F.col("e"))).alias("values"), F.collect_set("k").alias("kinds"),
         F.collect_set(F.when(F.col("known"), F.col("e")).otherwise(F.col("k"))).alias("asked"))
-    return held.drop("entities").join(units, "d")
+    return held.drop("entities").join(units, "d").withColumn("n", F.monotonically_increasing_id())
 
 
 def disclosures(held: DataFrame, docs: DataFrame, text_col: str, support: int, generalise: float, space: Workspace) -> DataFrame:
@@ -200,7 +200,10 @@ def disclosures(held: DataFrame, docs: DataFrame, text_col: str, support: int, g
     ic = F.log2(F.col("N") / F.col("n_e"))
     pmi = F.log2(F.col("N").cast("double") * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
     share = F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))  # an entity in every document has nothing to reveal
-    return pairs.select("u", "t", share.alias("share")).filter(F.col("share") >= generalise)
+    revealing = space.table(pairs.select("u", "t", share.alias("share")).filter(F.col("share") >= generalise), "revealing")
+    space.drop(both)
+    space.drop(n_e)
+    return revealing
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT,
@@ -222,12 +225,12 @@ def marked_texts(docs: DataFrame, id_col: str, text_col: str, support: int = SUP
     with Workspace(docs.sparkSession) as space:
         found = space.table(key.mapInArrow(_found, schema), "found")
         held = space.table(held_units(found, support), "held")
-        revealing = space.table(disclosures(held, docs, text_col, support, generalise, space), "revealing")
+        revealing = disclosures(held, docs, text_col, support, generalise, space)
         kind = F.when(F.col("share") >= remove, KINDS.index("remove")).otherwise(KINDS.index("general"))
-        asked = held.select("d", "terms", F.explode("asked").alias("u")).select("d", "u", F.explode("terms").alias("t"))
+        asked = held.select("n", "terms", F.explode("asked").alias("u")).select("n", "u", F.explode("terms").alias("t"))
         # a word that reveals several entities is removed if one of them asks for it
-        words = asked.join(revealing, ["u", "t"]).groupBy("d", "t").agg(F.max(kind).alias("kind"))
-        told = words.groupBy("d").agg(F.collect_list(F.struct("t", "kind")).alias("told"))
+        words = asked.join(revealing, ["u", "t"]).groupBy("n", "t").agg(F.max(kind).alias("kind"))
+        told = words.groupBy("n").agg(F.collect_list(F.struct("t", "kind")).alias("told")).join(held.select("n", "d"), "n").select("d", "told")
         whole = found.join(told, F.struct(found["id"], found["h"]) == told["d"], "left").select("id", "h", "base", "words", "starts", "ends", "told")
         spans = whole.mapInArrow(_marked, f"id long, h long, base {_SPANS_TYPE}, spans {_SPANS_TYPE}")
         return durable(spans.select(F.col("id").alias(id_col), F.col("h").alias("text_hash"), "base", "spans"))
