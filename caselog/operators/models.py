@@ -307,7 +307,7 @@ class PrefixVectorizerModel(Model):
         return [*self.slicer(0).feature_names(), *self.texts]
 
     def slicer(self, variant: int) -> PrefixSlicer:
-        return PrefixSlicer(self.spec, self.k, self.categories, self.numbers, variant, extra=("_text",) if self.blocks else (), lasts=self.lasts)
+        return PrefixSlicer(self.spec, self.k, self.categories, self.numbers, variant, extra={"_text": len(self.texts)} if self.blocks else None, lasts=self.lasts)
 
     def _transform(self, log: DataFrame) -> DataFrame:
         return self.transform_prepared(prepare(log, self.spec, self.k, self.codes, keep=False))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import Model
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -167,11 +167,11 @@ class PrefixSlicer(Model):
     """Case rows -> the vector of prefix k: kept categories, kept numbers, static values, kept last states. JVM functions only, sparse
     where that is smaller."""
 
-    def __init__(self, spec, k: int, categories: list[str], numbers: list[int], variant: int = 0, outputCol: str = "features", extra: tuple[str, ...] = (),
+    def __init__(self, spec, k: int, categories: list[str], numbers: list[int], variant: int = 0, outputCol: str = "features", extra: dict[str, int] | None = None,
                  lasts: list[int] = ()):
         super().__init__()
         self.spec, self.k, self.categories, self.numbers, self.lasts = spec, k, categories, numbers, list(lasts)
-        self.variant, self.outputCol, self.extra = variant, outputCol, extra
+        self.variant, self.outputCol, self.extra = variant, outputCol, dict(extra or {})  # further vector columns and their sizes
 
     def feature_names(self) -> list[str]:
         stems = [stem for _, stem in encoders.event_numbers(self.spec)]
@@ -188,7 +188,11 @@ class PrefixSlicer(Model):
     def _transform(self, rows: DataFrame) -> DataFrame:
         tokens, counts, dense = f"_t_{self.outputCol}", f"_c_{self.outputCol}", f"_d_{self.outputCol}"
         out = rows.withColumn(dense, self._numbers())
-        parts = [dense, *self.extra]
+        # sizes said beforehand: otherwise each prefix would ask the first row, and fail without one
+        sizes = {dense: len(self.numbers) + len(self.spec.static_cols) + len(self.lasts), **self.extra}
+        for column, size in sizes.items():
+            out = VectorSizeHint(inputCol=column, size=size, handleInvalid="optimistic").transform(out)
+        parts = list(sizes)
         if self.categories:
             sliced = F.slice("names", F.lit(1), F.get("ends", F.lit(self.k - 1)))
             if self.spec.last_state_cols:

@@ -92,3 +92,9 @@ def test_options_are_saved_and_fold_tables_are_their_own(spark, tmp_path, spec):
     assert sorted(model.predict(log).collect()) == sorted(again.predict(log).collect())
     scored = X.out_of_fold(log, spec, 2, 3, "rf", {"n_estimators": 3, "max_depth": 3}) if not spec.texts else None
     assert scored is None or (scored.count() == 60 and scored.filter("prediction = label").count() > 50)
+
+
+def test_a_log_without_a_case_that_reaches_the_prefix_gives_no_rows(logs):
+    for spec, text in ((LogSpec(event_col="act", dynamic_cols=("v",), min_share=0.0), {}), (LogSpec(text_cols=("note",)), {"text_method": "bong", "text_options": {"nr_selected": 3}})):
+        fitted = PrefixVectorizer(spec, 3, **text).fit(logs[0])
+        assert fitted.transform(logs[1]).count() == 0 and fitted.cells(logs[0]).count() > 0
