@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselog.llm import (conversations, decontaminate, exact_dedup, labelled, line_dedup, near_dedup, pieces, pii, quality_classifier, quality_rules,
@@ -114,9 +115,14 @@ def unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def _of_kind(kind: int) -> Callable[[Column], Column]:
+    return lambda span: span["kind"] == kind
+
+
 def disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(_table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}") for k in range(4)]
+    # functions of one parameter: a second one, even with a default, would be given the place in the array
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{pii.KINDS[k]}") for k in range(4)]
     return found.select("doc_id", *counts, F.sha2(pii.listing("base").cast("binary"), 256).alias("base_sha256"), pii.listing("spans").alias("spans"))
 
 
