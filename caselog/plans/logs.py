@@ -14,7 +14,10 @@ from caselog.operators.ranks import HOT_ROWS, hot_keys, running_in_case
 
 LINE_ORDER = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
 
+TEXT_BYTES = 8 << 20  # text of one task
+
 _known_hot: dict = {}
+_text_bytes: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,15 +80,28 @@ def user_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case_id", "event_nr", "case_length", "event_id", "ts", F.col("event_type").alias("act"), "value", "label")
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts placed by document: a text is far smaller than its (document, term) rows, and counts and norms per document then
+    need no further shuffle.
+
+    A task takes about TEXT_BYTES of text however large the table is, since its rows are some thirty times as large; an
+    explicit number of parts also keeps Spark from joining small ones. The bytes are added up once per session and folder.
+    """
+    docs = table(spark, sf_dir, "documents")
+    slot = (spark.sparkContext.applicationId, sf_dir)
+    if slot not in _text_bytes:
+        _text_bytes[slot] = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return docs.repartition(max(spark.sparkContext.defaultParallelism, -(-_text_bytes[slot] // TEXT_BYTES)), "doc_id")
+
+
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts are placed by document first: a text is far smaller than its (document, term)
-    rows, and counts and norms per document then need no further shuffle."""
-    return table(spark, sf_dir, "documents").repartition("doc_id").join(table(spark, sf_dir, "labels"), "doc_id")
+    """Documents with their labels, placed by document."""
+    return _placed(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
 
 
 def all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, placed like the labelled ones."""
-    return table(spark, sf_dir, "documents").repartition("doc_id")
+    return _placed(spark, sf_dir)
 
 
 # The same logs in SQL, for the checks.
