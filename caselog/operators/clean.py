@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,16 +114,27 @@ def describe_events(df: DataFrame, key: str, columns: dict[str, str], out: str,
 
 
 def lemmatise(df: DataFrame, key: str, tokens: str, lexicon: DataFrame, out: str) -> DataFrame:
-    """Replace each token by its lemma from a (token, lemma) table and join by spaces.
+    """Replace each token by its lemma from a (token, lemma) table and join by spaces; rows of one key are one text, token by token.
 
-    Frequent tokens would all meet in one join task, so the lookup splits
-    them off by their count. The list put together again is one text.
+    A text's distinct tokens go out to be looked up and only those with a lemma come back to the tokens, which stay with their
+    key. Frequent tokens would all meet in one join task, so the lookup splits them off by their count.
     """
-    long = df.select(key, F.posexplode_outer(tokens).alias("_pos", "token")).filter(F.col("token").isNotNull())
+    @F.arrow_udf("string")
+    def replaced(rows: pa.Array, found: pa.Array) -> pa.Array:
+        """The tokens of a key's rows by place, then by what they became."""
+        lines = []
+        for own, words in zip(rows, found):
+            lemma = {w["token"]: w["lemma"] for w in words.as_py() or ()}
+            lists = [[lemma.get(t, t) for t in row] for row in own.as_py()]
+            if len(lists) > 1:
+                lists = [[t for _, t in sorted(((p, t) for row in lists for p, t in enumerate(row) if t is not None), key=lambda x: (x[0], x[1].encode()))]]
+            lines.append(" ".join(t for t in (lists[0] if lists else ()) if t is not None))
+        return pa.array(lines, pa.string())
+
+    long = df.select(key, F.explode_outer(F.array_distinct(tokens)).alias("token")).filter(F.col("token").isNotNull())
     weights = long.groupBy("token").agg(F.count(F.lit(1)).alias("_weight"))
     known = lexicon.select("token", "lemma").join(weights, "token")
-    spread = F.concat_ws("_", F.col(key).cast("string"), F.col("_pos").cast("string"))
-    named = lookup_skewed(long, known, "token", "_weight", spread)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_lemma"))), lambda x: x["_lemma"]), " ")
-    joined = named.withColumn("_lemma", F.coalesce("lemma", "token")).groupBy(key).agg(text.alias(out))
-    return df.join(joined, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
+    named = lookup_skewed(long, known, "token", "_weight", F.col(key)).filter(F.col("lemma").isNotNull())
+    found = named.groupBy(key).agg(F.collect_set(F.struct("token", "lemma")).alias("_found"))
+    texts = df.groupBy(key).agg(F.collect_list(tokens).alias("_rows")).join(found, key, "left")
+    return df.join(texts.select(key, replaced("_rows", "_found").alias(out)), key, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))

@@ -163,6 +163,8 @@ def lookup_skewed(
     cold = table.filter(F.col(weight) <= hot_rows).select(F.col(key).alias("_k"), *extra)
     step = facts.join(F.broadcast(hot), key, "left")
     join_key = F.when(F.col("_hot"), F.concat(F.lit("\u0001"), spread.cast("string"))).otherwise(F.col(key))
-    merged = step.withColumn("_k", join_key).join(cold, "_k", "left")
+    # a key is shuffled once: as the join key, or beside it where that is another
+    merged = step.withColumn("_k", join_key).withColumn(key, F.when(F.col("_hot"), F.col(key))).join(cold, "_k", "left")
     picked = {c: F.when(F.col("_hot"), F.col(f"_h_{c}")).otherwise(F.col(c)) for c in extra}
+    picked[key] = F.when(F.col("_hot"), F.col(key)).otherwise(F.col("_k").cast(facts.schema[key].dataType))
     return merged.withColumns(picked).drop("_k", "_hot", *[f"_h_{c}" for c in extra])

@@ -1,4 +1,4 @@
-"""Text queries must keep a task's share of the text bounded."""
+"""Text queries must keep a task's share of the text bounded, and look a word up once per text."""
 
 import duckdb
 import pytest
@@ -6,6 +6,7 @@ from oracle import compare
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from caselog.operators import clean
 from caselog.plans import logs
 
 
@@ -30,3 +31,21 @@ def test_parts_follow_the_bytes_of_text(spark, folder, monkeypatch):
     con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
     for name in ("ngram_counts", "sorted_vocabulary"):
         assert compare(__spark_entry__.queries()[name](spark, folder), con, __spark_entry__.oracle_sql()[name]) == []
+
+
+def test_lemmas_of_awkward_rows(spark):
+    df = spark.createDataFrame(
+        [(1, ["cats", "and", "cats", "dogs"]), (2, []), (3, None), (None, ["cats"]), (4, ["b", "cats"]), (4, ["a", "cats", "dogs"]), (5, ["cats", None, "x"])],
+        "id long, tokens array<string>")
+    lexicon = spark.createDataFrame([("cats", "cat"), ("dogs", "dog"), ("birds", "bird")], "token string, lemma string")
+    got = sorted(((r["id"], r["lemmas"]) for r in clean.lemmatise(df, "id", "tokens", lexicon, "lemmas").collect()), key=repr)
+    twice = (4, "a b cat cat dog")
+    assert got == sorted([(1, "cat and cat dog"), (2, ""), (3, ""), (None, ""), twice, twice, (5, "cat x")], key=repr)
+
+
+def test_only_distinct_words_are_shuffled(spark):
+    rows = [(i, ["many", "words"] * 500 + [f"own{i}s"]) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    lexicon = spark.createDataFrame([("words", "word")], "token string, lemma string")
+    plan = clean.lemmatise(df, "id", "tokens", lexicon, "lemmas")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" in plan and "posexplode" not in plan
