@@ -8,11 +8,12 @@ from dataclasses import asdict
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LocalLDAModel
 from pyspark.ml.feature import Word2VecModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 
-from caselog.operators.models import FourierFeatures, LogSpec, OutcomeModel, PrefixVectorizerModel, TextBlock, WordVectors
+from caselog.operators.models import FourierFeatures, LogSpec, OutcomeModel, PrefixVectorizerModel, TextBlock
 
-TABLES = ("selected", "frequencies", "n_docs", "dictionary")  # tables a text block may hold
+TABLES = ("selected", "frequencies", "n_docs", "dictionary", "vectors")  # tables a text block may hold
 FACTS = ("size", "n_docs")
 
 
@@ -54,7 +55,7 @@ def _save_block(block: TextBlock, path: str) -> dict:
             value.write.parquet(f"{path}/{name}")
             tables.append(name)
     if getattr(worker, "model", None) is not None:
-        learned = "vectors" if isinstance(worker, WordVectors) else "topics"
+        learned = "topics"
         worker.model.save(f"{path}/model")
     facts = {f: getattr(worker, f) for f in FACTS if isinstance(getattr(worker, f, None), int)}
     return {"column": block.column, "facts": facts, "tables": tables, "learned": learned}
@@ -66,8 +67,10 @@ def _load_block(spark: SparkSession, path: str, held: dict, model: OutcomeModel)
         setattr(block.worker, name, spark.read.parquet(f"{path}/{name}"))
     for name, value in held["facts"].items():
         setattr(block.worker, name, value)
-    if held["learned"]:
-        block.worker.model = (Word2VecModel if held["learned"] == "vectors" else LocalLDAModel).load(f"{path}/model")
+    if held["learned"] == "vectors":  # saved when the library's own model held them
+        block.worker.vectors = Word2VecModel.load(f"{path}/model").getVectors().select("word", vector_to_array("vector", "float32").alias("vector"))
+    elif held["learned"]:
+        block.worker.model = LocalLDAModel.load(f"{path}/model")
     return block
 
 
