@@ -18,6 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,7 +28,9 @@ from caselog.llm.arrow import Batches, Cache, list_array, list_rows, sliced
 END_ID = 2
 _AFTER_BLANK = re.compile(r"\s ")
 _PLAIN = re.compile(r" \S+\Z")
+_ODD = r"[\s\pZ\x0b\x1c-\x1f\x{85}] "  # _AFTER_BLANK for Arrow, whose \s is that of ASCII
 STRING = 4096
+JOINED = 64  # chunks in one string for the library, which is slower on longer ones
 _CUT = re.compile(r"(?<=\S)(?= )")
 _FORMAT = {
     "compression": "zstd", "parquet.writer.version": "v2", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10),
@@ -63,10 +66,15 @@ class Encoder:
 
     def __call__(self, new: list[str]) -> list[bytes]:
         out: dict[str, bytes] = {}
-        plain = [c for c in new if _PLAIN.match(c) and not self.added.search(c)]
+        plain = [c for c in new if _PLAIN.match(c)]
+        if self.added.search("".join(plain)):
+            plain = [c for c in plain if not self.added.search(c)]
         for at in range(0, len(plain), STRING):
             part = plain[at : at + STRING]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, dtype="<u4")
+            strings = ["".join(part[i : i + JOINED]) for i in range(0, len(part), JOINED)]
+            # the fast call gives the same ids, without places in the text
+            encoded = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
+            ids = np.array([i for e in encoded for i in e.ids], dtype="<u4")
             ends = np.cumsum([len(c.encode()) for c in part])
             reached = np.cumsum(self.bytes_of[ids])
             cuts = np.searchsorted(reached, ends)
@@ -74,7 +82,7 @@ class Encoder:
                 data, stops = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
                 out.update((c, data[a:b]) for c, a, b in zip(part, stops, stops[1:]))
         rest = [c for c in new if c not in out]
-        out.update(zip(rest, (np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(rest, add_special_tokens=False))))
+        out.update(zip(rest, (np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
         return [out[c] for c in new]
 
 
@@ -88,14 +96,46 @@ def encoder(tokenizer_path: str) -> Cache:
     return _encoders[tokenizer_path]
 
 
+def _split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The chunks of texts cut at every blank, each different one once; the place of each chunk of the texts among them; chunks per text."""
+    pieces = pc.split_pattern(texts, " ")
+    ends = np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False))
+    coded = pieces.flatten().dictionary_encode()
+    places, different = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+    firsts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    begins = [different[i] for i in places[firsts].tolist()]  # a text's first chunk has no blank before it
+    places[firsts] = len(different) + np.arange(len(firsts))
+    return [" " + p for p in different] + begins, places, ends
+
+
+def _ids(cache: Cache, texts: pa.Array, end: bytes) -> list[np.ndarray]:
+    """The ids of every text, with the end id. Texts with a blank at their beginning or after a blank are cut one by one."""
+    odd = pc.or_(pc.starts_with(texts, " "), pc.match_substring_regex(texts, _ODD)).to_numpy(zero_copy_only=False)
+    rows: list = [None] * len(texts)
+    for i, found in zip(np.flatnonzero(odd), cache.rows([chunks(t) for t in texts.filter(pa.array(odd)).to_pylist()])):
+        rows[i] = np.frombuffer(b"".join(found) + end, dtype=np.int32)
+    even = np.flatnonzero(~odd)
+    if len(even):
+        different, places, ends = _split(texts.filter(pa.array(~odd)))
+        found = [*cache.values(different), end]
+        places, last = np.insert(places, ends, len(different)), ends + np.arange(1, len(ends) + 1)  # a text ends with the end id
+        sizes = np.array(list(map(len, found)), dtype=np.int64) // 4
+        starts, lengths = np.cumsum(sizes) - sizes, sizes[places]
+        upto = np.cumsum(lengths)
+        ids = np.frombuffer(b"".join(found), dtype=np.int32)[np.repeat(starts[places] - (upto - lengths), lengths) + np.arange(upto[-1])]
+        cuts = [0, *upto[last - 1].tolist()]
+        for i, a, b in zip(even, cuts, cuts[1:]):
+            rows[i] = ids[a:b]
+    return rows
+
+
 def _encode(tokenizer_path: str, end_id: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Batches) -> Batches:
         cache, part, start = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in sliced(batches, 1):
-            found = cache.rows([chunks(text or "") for text in batch.column(1).to_pylist()])
-            rows = [np.frombuffer(b"".join(ids) + end, dtype=np.int32) for ids in found]
+            rows = _ids(cache, pc.fill_null(batch.column(1), ""), end)
             sizes = np.array([len(r) for r in rows], dtype=np.int64)
             starts = start + np.cumsum(sizes) - sizes
             start += int(sizes.sum())
