@@ -8,6 +8,7 @@ class weights, scaling and a classifier.
 from __future__ import annotations
 
 import time
+import weakref
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -24,18 +25,18 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from caselog.functions import text as T
 from caselog.functions.scalars import sparse_vector
-from caselog.operators import encoders, features, skipgram, text
+from caselog.operators import encoders, features, skipgram, text, topics
 from caselog.operators.encode import RARE_SHARE
 from caselog.operators.events import with_case_value
 from caselog.operators.prefixes import PrefixSlicer, Selection, case_rows, select_features
 from caselog.operators.ranks import lookup_skewed
 from caselog.operators.split import oversample
-from caselog.session import Workspace, durable
+from caselog.session import Workspace, clean_shuffles, durable, remove_folder
 
 
 SHALLOW = 10  # levels of a tree that is small enough to go out with every round
 MOST_CLASSES = 10_000  # classes a model may have; more raise
-MOST_MODEL_BYTES = 512 << 20  # what a topic model may hold on the driver and in each task; more raise
+LOCAL_TOPIC_BYTES = 16 << 20  # a topic model's matrix that the driver and each task may hold; a larger one is a table
 
 
 @dataclass(frozen=True)
@@ -137,13 +138,20 @@ def refuse_wide(terms: int, bytes_a_term: int, most: int, what: str) -> None:
 
 
 class TopicModel:
-    """LDA topics per document; the vocabulary is a table of the whole corpus, refused before the fit when terms x topics pass ``model_bytes``."""
+    """LDA topics per document; the vocabulary is a table of the whole corpus.
+
+    The library's LDA keeps a matrix of topics x terms on the driver and in each task. Where that passes LOCAL_TOPIC_BYTES, the matrix is
+    a table, too (``topics``, by ``operators.topics``), and the driver holds one number a topic. With ``model_bytes`` a fit whose matrix
+    would pass that many bytes is refused.
+    """
 
     def __init__(self, num_topics: int = 20, tfidf: bool = False, passes: int = 3, min_prob: float = 0.0, min_freq: int = 0,
-                 dictionary: DataFrame | None = None, random_seed: int = 22, subsampling: float = 0.2, key: str = "doc", model_bytes: int = MOST_MODEL_BYTES):
+                 dictionary: DataFrame | None = None, random_seed: int = 22, subsampling: float = 0.2, key: str = "doc", model_bytes: int | None = None):
         self.num_topics, self.use_tfidf, self.passes, self.min_prob = num_topics, tfidf, passes, min_prob
         self.min_freq, self.dictionary, self.seed, self.subsampling, self.key = min_freq, dictionary, random_seed, subsampling, key
         self.model_bytes, self.model = model_bytes, None
+        self.topics: DataFrame | None = None
+        self.alpha: list[float] | None = None
         self._fitted: tuple | None = None  # the table of the fit and its vectors
 
     def _cells(self, docs: DataFrame) -> DataFrame:
@@ -159,18 +167,27 @@ class TopicModel:
         grouped = found.groupBy(self.key).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("_c"))  # words of one document
         return grouped.select(self.key, sparse_vector("_c.idx", "_c.weight", self.size).alias("features"))
 
+    def _cut(self, docs: DataFrame, space: Workspace, rounds: int = 0) -> DataFrame:
+        clean_shuffles(docs.sparkSession)
+        return topics.cut(docs, self.key, T.split_tokens("text"), "text", space, rounds, self.subsampling, self.seed)
+
     def fit(self, docs: DataFrame) -> "TopicModel":
         from pyspark.ml.clustering import LDA
 
         if self.dictionary is None:
-            cells = self._cells(docs)
-            if self.min_freq > 0:
-                cells = text.keep_terms(cells, self.key, text.frequent_tokens(docs, T.split_tokens("text"), self.min_freq))
-            self.dictionary = durable(text.sorted_vocabulary(cells))
+            self.dictionary = durable(text.sorted_vocabulary(self._cells(docs), self.min_freq))
         self.size = max(int(self.dictionary.count()), 1)
-        refuse_wide(self.size, 8 * self.num_topics, self.model_bytes, "a topic model")
+        if self.model_bytes is not None:
+            refuse_wide(self.size, 8 * self.num_topics, self.model_bytes, "a topic model")
         self.n_docs = docs.count()
         rounds = max(1, round(self.passes / self.subsampling))
+        self.model = self.topics = self.alpha = None
+        if self.size * 8 * self.num_topics > LOCAL_TOPIC_BYTES:
+            space = Workspace(docs.sparkSession)
+            weakref.finalize(self, remove_folder, docs.sparkSession, space.root).atexit = False  # what transform returns is kept by itself
+            self._fitted = docs, self._cut(docs, space, rounds)
+            self.topics, self.alpha = topics.fit(self._fitted[1], self.dictionary, self.num_topics, rounds, self.subsampling, self.seed, self._idf_docs())
+            return self
         # a round's task sends a dense matrix of topics x terms, however few its documents: as many tasks as cores, not as parts of the corpus
         self._fitted = docs, durable(self._vectors(docs))
         vectors = self._fitted[1].coalesce(docs.sparkSession.sparkContext.defaultParallelism)
@@ -178,13 +195,22 @@ class TopicModel:
                          featuresCol="features", topicDistributionCol="_topics").fit(vectors)
         return self
 
+    def _idf_docs(self) -> int | None:
+        return self.n_docs if self.use_tfidf else None
+
     def transform(self, docs: DataFrame) -> DataFrame:
         """Every document with ``values``: its topic shares, below min_prob as 0, all 0 without a known word. The table of the fit has its vectors already."""
-        if self.model is None:
+        if self.model is None and self.topics is None:
             raise ValueError("fit before transform")
-        vectors = self._fitted[1] if self._fitted and docs is self._fitted[0] else self._vectors(docs)
-        shares = F.transform(vector_to_array("_topics"), lambda p: F.when(p >= self.min_prob, p).otherwise(0.0))
-        scored = self.model.transform(vectors).select(self.key, shares.alias("_v"))
+        mine = self._fitted[1] if self._fitted and docs is self._fitted[0] else None
+        if self.topics is not None:
+            with Workspace(docs.sparkSession) as space:
+                cut = self._cut(docs, space) if mine is None else mine
+                found = durable(topics.shares(cut, self.dictionary, self.topics, self.alpha, self.seed, self._idf_docs()))
+            found = found.withColumnsRenamed({"key": self.key, "shares": "_p"})
+        else:
+            found = self.model.transform(self._vectors(docs) if mine is None else mine).select(self.key, vector_to_array("_topics").alias("_p"))
+        scored = found.select(self.key, F.transform("_p", lambda p: F.when(p >= self.min_prob, p).otherwise(0.0)).alias("_v"))
         zeros = F.array_repeat(F.lit(0.0), self.num_topics)
         return docs.join(scored, self.key, "left").withColumn("values", F.coalesce("_v", zeros)).drop("_v")
 

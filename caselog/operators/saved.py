@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from caselog.operators.models import FourierFeatures, LogSpec, OutcomeModel, PrefixVectorizerModel, TextBlock
 
-TABLES = ("selected", "frequencies", "n_docs", "dictionary", "vectors")  # tables a text block may hold
-FACTS = ("size", "n_docs")
+TABLES = ("selected", "frequencies", "n_docs", "dictionary", "vectors", "topics")  # tables a text block may hold
+FACTS = ("size", "n_docs", "alpha")
 
 
 def _write_json(spark: SparkSession, path: str, value) -> None:
@@ -57,7 +57,7 @@ def _save_block(block: TextBlock, path: str) -> dict:
     if getattr(worker, "model", None) is not None:
         learned = "topics"
         worker.model.save(f"{path}/model")
-    facts = {f: getattr(worker, f) for f in FACTS if isinstance(getattr(worker, f, None), int)}
+    facts = {f: getattr(worker, f) for f in FACTS if isinstance(getattr(worker, f, None), int | list)}
     return {"column": block.column, "facts": facts, "tables": tables, "learned": learned}
 
 

@@ -86,13 +86,18 @@ def _ids(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.nd
     return ids[ids >= 0], row[ids >= 0], lengths
 
 
-def _start(seeds: np.ndarray, size: int) -> np.ndarray:
-    """Uniform numbers within 0.5 / size that depend on a word's seed alone, so that all parts begin alike."""
-    x = seeds.astype(np.uint64)[:, None] + np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def uniforms(seeds: np.ndarray, n: int) -> np.ndarray:
+    """``n`` numbers in 0 to 1 of each seed that depend on it alone."""
+    x = seeds.astype(np.uint64)[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
-    return (((x >> np.uint64(11)).astype(np.float64) / 2.0**53 - 0.5) / size).astype(np.float32)
+    return (x >> np.uint64(11)).astype(np.float64) / 2.0**53
+
+
+def _start(seeds: np.ndarray, size: int) -> np.ndarray:
+    """Uniform numbers within 0.5 / size that depend on a word's seed alone, so that all parts begin alike."""
+    return ((uniforms(seeds, size) - 0.5) / size).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

@@ -30,9 +30,12 @@ def document_frequencies(cells: DataFrame) -> DataFrame:
     return cells.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def sorted_vocabulary(cells: DataFrame) -> DataFrame:
-    """(term, df, idx) with idx 0.. in term order, ranked by sampled ranges."""
-    ranked = rank_by_range(document_frequencies(cells), [F.col("term")], "idx")
+def sorted_vocabulary(cells: DataFrame, more_than: int = 0) -> DataFrame:
+    """(term, df, idx) with idx 0.. in term order, ranked by sampled ranges; of the terms that occur more than ``more_than`` times."""
+    terms = document_frequencies(cells)
+    if more_than > 0:
+        terms = cells.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_n")).filter(F.col("_n") > more_than).drop("_n")
+    ranked = rank_by_range(terms, [F.col("term")], "idx")
     return ranked.withColumn("idx", F.col("idx") - 1)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -86,6 +87,12 @@ class Workspace:
         remove_folder(self.spark, self.root)
 
 
+def clean_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of results that are gone; by itself it does so when the driver's heap is full, which steps that leave it empty never make it."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
