@@ -5,7 +5,7 @@ from test_passes import FOREST, SPEC, counted, small_log
 
 from caselog.operators import encoders
 from caselog.operators import experiments as X
-from caselog.operators.models import PreparedLog
+from caselog.operators.models import OutcomeModel, PreparedLog
 
 
 def scores(df):
@@ -40,3 +40,14 @@ def test_a_prefix_that_is_named_needs_no_search_for_the_longest_case(spark, monk
     monkeypatch.setattr(X, "longest_case", lambda *_: 1 / 0, raising=False)
     found = X.out_of_fold(log, SPEC, 1, 4, "rf", FOREST).collect()
     assert sorted(r["case_id"] for r in found) == list(range(40)) and {r["fold"] for r in found} == {0, 1, 2, 3}
+
+
+def test_models_of_one_specification_share_an_encoding(spark, monkeypatch):
+    log, made, prepare = small_log(spark), [], X.prepare
+    monkeypatch.setattr(X, "prepare", lambda *a, **b: (made.append(a[1]), prepare(*a, **b))[1])
+    make = lambda: [OutcomeModel(2, SPEC, "rf", dict(FOREST)), OutcomeModel(2, SPEC, "logit", {"max_iter": 5})]
+    models = X.fit_side_by_side(make(), log)
+    together = X.predict_side_by_side(models, log)
+    assert len(made) == 2  # one encoding to learn from, one to score
+    for found, alone in zip(together, make()):
+        assert scores(found) == scores(alone.fit(log).predict(log))
